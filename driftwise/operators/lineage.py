@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -81,16 +82,17 @@ def materialise(spark: SparkSession, frame: DataFrame, base: str, chain: Sequenc
 
     A second call with the same base, chain and columns reads what is there, so
     every metric on one fact table pays for its lineage once. The written files
-    also cut lineage: a lost executor costs a re-read, not a recomputation.
+    also cut lineage: a lost executor costs a re-read, not a recomputation. The
+    marker is written last, so a half-written table is never taken for whole.
     """
     path = f"{shared_folder(spark)}/{stage_name(base, chain, frame.schema)}"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(marker):
+    try:
+        spark.read.parquet(f"{path}/done").schema
+    except AnalysisException:
         writer = frame.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path) if not partition_by \
-        else spark.read.parquet(path)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/rows").select(*frame.columns)
 
 
 def entitled(frame: DataFrame, regions: Sequence[str] | None) -> DataFrame:
