@@ -222,7 +222,7 @@ def rollup_sum(e: Estate) -> DataFrame:
 def rollup_mean(e: Estate) -> DataFrame:
     kpi = Kpi("mean_line", "net", "INR", "day", ("region",), "owner", (), aggregation="mean")
     sliced = metrics.net_value(e.sales(products=False), ("region", "channel"))
-    return stamped(rounded(metrics.roll_up(sliced, kpi), 6, "value"), "ts")
+    return stamped(rounded(metrics.roll_up(sliced, kpi), 8, "value"), "ts")
 
 
 @job("rollup_ratio")
@@ -283,7 +283,7 @@ def plan_asof(e: Estate) -> DataFrame:
 @job("driver_series")
 def driver_series(e: Estate) -> DataFrame:
     path = driver_path(e).withColumn("d", day_text("d"))
-    return rounded(rounded(path, 6, "realised_price"), 4, "marketing_spend", "planned_stock",
+    return rounded(rounded(path, 9, "realised_price"), 4, "marketing_spend", "planned_stock",
                    "competitor_price_index")
 
 

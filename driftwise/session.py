@@ -23,6 +23,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .appName("driftwise")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
     )
     for key, value in RUNTIME_CONF.items():

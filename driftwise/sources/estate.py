@@ -242,7 +242,7 @@ class Estate:
         number = F.expr("cast(10 + event_id % 90 as string)")
         category = F.lower(pick(("ECONOMY", "SMALL", "PROMO", "LARGE", "STANDARD", "MEDIUM"),
                                 F.col("user_id")))
-        sku = F.concat(F.lit("Brand#"), F.expr("1 + user_id % 25"))
+        sku = F.concat(F.lit("brand-"), F.expr("1 + user_id % 25"))
         text = F.replace(F.replace(F.replace(wording, F.lit("{k}"), number),
                                    F.lit("{c}"), category), F.lit("{s}"), sku)
         slot = F.expr("event_id % 16")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from oracle import series_sql, views
+from oracle import cause_sql, series_sql, views
 
-VIEWS: dict[str, str] = {**views.VIEWS, **series_sql.VIEWS}
-ANSWERS: dict[str, str] = {**series_sql.ANSWERS}
+VIEWS: dict[str, str] = {**views.VIEWS, **series_sql.VIEWS, **cause_sql.VIEWS}
+ANSWERS: dict[str, str] = {**series_sql.ANSWERS, **cause_sql.ANSWERS}
 
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 
@@ -28,4 +28,6 @@ def statement(name: str) -> str:
     if not views_used:
         return sql
     body = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v].strip()})" for v in views_used)
+    if sql.upper().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     return f"WITH RECURSIVE {body}\n{sql}"

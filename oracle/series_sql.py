@@ -251,7 +251,7 @@ ANSWERS = {
                CAST(sum(CAST(qty * unit_price - discount AS DECIMAL(18,6))) AS DOUBLE) AS value
         FROM v_all_lines JOIN v_heads USING (order_id) WHERE status <> 'cancelled' GROUP BY ALL)""",
     "rollup_sum": f"""SELECT {TS.format('d')}, round(sum(net), 4) AS value FROM v_net_day GROUP BY 1""",
-    "rollup_mean": f"""SELECT {TS.format('ts')}, round(avg(value), 6) AS value FROM (
+    "rollup_mean": f"""SELECT {TS.format('ts')}, round(avg(value), 8) AS value FROM (
         SELECT date_trunc('day', order_ts) AS ts, region, channel,
                CAST(sum(CAST(net AS DECIMAL(18,6))) AS DOUBLE) AS value FROM v_kept GROUP BY ALL)
         GROUP BY ALL""",
@@ -278,7 +278,7 @@ ANSWERS = {
         round(planned_stock, 4) AS planned_stock,
         round(competitor_price_index, 4) AS competitor_price_index FROM v_drivers""",
     "driver_series": """SELECT region, strftime(d, '%Y-%m-%d') AS d,
-        round(realised_price, 6) AS realised_price, round(marketing_spend, 4) AS marketing_spend,
+        round(realised_price, 9) AS realised_price, round(marketing_spend, 4) AS marketing_spend,
         round(planned_stock, 4) AS planned_stock,
         round(competitor_price_index, 4) AS competitor_price_index FROM v_drivers""",
     "festival_factor": """SELECT strftime(d, '%Y-%m-%d') AS day,

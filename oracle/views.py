@@ -130,7 +130,7 @@ VIEWS = {
                  '{{k}}', CAST(10 + event_id % 90 AS VARCHAR)),
                  '{{c}}', lower({pick(("ECONOMY", "SMALL", "PROMO", "LARGE", "STANDARD", "MEDIUM"),
                                       'user_id')})),
-                 '{{s}}', 'Brand#' || (1 + user_id % 25)) AS text
+                 '{{s}}', 'brand-' || (1 + user_id % 25)) AS text
         FROM events WHERE event_type = 'error'""",
     "v_signals": f"""
         SELECT *, valid_from + INTERVAL 24 HOUR AS valid_to,
