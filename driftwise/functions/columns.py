@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,14 @@ def any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     for phrase in phrases:
         test = test | F.contains(text, F.lit(phrase))
     return test
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle on the keys into the session's full count of partitions.
+
+    Adaptive execution merges partitions by their bytes. Where few bytes stand
+    for much work (rows about to be multiplied, long windows) that would leave
+    one task; a fixed count keeps the work spread, and every later step on the
+    same keys reuses this shuffle.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -21,6 +21,7 @@ from driftwise.config import (
     PLACEBO_STEP_DAYS,
     PLACEBO_WINDOWS,
 )
+from driftwise.functions.columns import spread
 from driftwise.operators.candidates import SCOPE
 
 KEY = ("finding_id", "doc_id")
@@ -68,22 +69,21 @@ def region_sums(candidates: DataFrame, panel: DataFrame) -> DataFrame:
     first = F.date_sub(
         F.col("start"), BASELINE_DAYS * 2 + 1 + PLACEBO_WINDOWS * PLACEBO_STEP_DAYS)
     first = F.date_sub(first, F.greatest(F.datediff("end", "start"), F.lit(1)))
-    days = candidates.select(
+    days = spread(candidates, *KEY).select(
         *KEY, "start", "end", "exposed", *SCOPE, layout_of().cast("int").alias("layout"),
         F.explode(F.sequence(first, F.col("end"))).alias("d"))
     match = (days["layout"] == panel["layout"]) & (days["d"] == panel["d"])
     for dim in SCOPE:
         match = match & days[dim].eqNullSafe(panel[dim])
     joined = days.join(panel, match).select(
-        *KEY, days["start"], days["end"], days["exposed"], days["d"], panel["region"],
-        panel["revenue"])
+        *KEY, days["start"], days["end"], days["d"], panel["region"], panel["revenue"],
+        F.array_contains(days["exposed"], panel["region"]).alias("treated"))
     sums = []
     for name, (lo, hi) in spans.items():
         inside = F.col("d").between(lo, hi)
         sums += [F.sum(F.when(inside, F.col("revenue"))).alias(f"{name}_sum"),
                  F.count(F.when(inside, 1)).alias(f"{name}_n")]
-    return joined.groupBy(*KEY, "region").agg(
-        F.array_contains(F.first("exposed"), F.col("region")).alias("treated"), *sums)
+    return joined.groupBy(*KEY, "region", "treated").agg(*sums)
 
 
 def change(during: Column, before: Column) -> Column:

@@ -76,12 +76,22 @@ def stage_name(base: str, chain: Sequence[str], schema: StructType) -> str:
     return f"prepared_{base}_{hashlib.sha256(payload.encode()).hexdigest()[:12]}"
 
 
-def materialise(spark: SparkSession, frame: DataFrame, base: str, chain: Sequence[str],
+def snapshot(spark: SparkSession, root: str) -> str:
+    """A short digest of the source files' number, sizes and times.
+
+    Read from the file listing alone: the contents column is never asked for.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    seen = listing.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")).first()
+    return hashlib.sha256(f"{root}|{tuple(seen)}".encode()).hexdigest()[:12]
+
+
+def materialise(spark: SparkSession, frame: DataFrame, base: str, chain: Sequence[str] = (),
                 partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a prepared table once to the shared folder and read it from there.
 
     A second call with the same base, chain and columns reads what is there, so
-    every metric on one fact table pays for its lineage once. The written files
+    every job on one fact table pays for its lineage once. The written files
     also cut lineage: a lost executor costs a re-read, not a recomputation. The
     marker is written last, so a half-written table is never taken for whole.
     """

@@ -10,7 +10,6 @@ from driftwise.functions.columns import day_text
 from driftwise.operators import candidates as cands
 from driftwise.operators import causal
 from driftwise.operators import decomposition as parts
-from driftwise.operators import metrics
 from driftwise.plans.registry import job
 from driftwise.plans.series_jobs import driver_path, regional, rounded
 from driftwise.sources.estate import Estate
@@ -40,7 +39,7 @@ def cases(e: Estate) -> DataFrame:
 
 
 def facts(e: Estate) -> DataFrame:
-    return metrics.bridge_facts(e.sales(), "sku", ("region", "channel", "category", "device"))
+    return e.daily_facts()
 
 
 def net_by_day(e: Estate) -> DataFrame:
@@ -211,7 +210,11 @@ def movements(e: Estate) -> DataFrame:
 
 
 def tested(e: Estate) -> DataFrame:
-    """Every relevant candidate with its outcomes and verdict."""
+    """Every relevant candidate with its outcomes and verdict, kept as a stage."""
+    return e.stage("tested", lambda: test_all(e))
+
+
+def test_all(e: Estate) -> DataFrame:
     kept = cands.relevance(all_candidates(e)).filter("relevant").drop("relevant", "set_aside")
     moved = movements(e).select("finding_id", F.signum("total_change").alias("movement"))
     return causal.verify(kept.join(moved, "finding_id", "left"), facts(e))

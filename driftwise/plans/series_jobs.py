@@ -86,10 +86,8 @@ def lineage_chain(e: Estate) -> DataFrame:
 @job("materialised_series")
 def materialised_series(e: Estate) -> DataFrame:
     """The regional series read from a prepared table instead of the raw lines."""
-    prepared = lineage.materialise(
-        e.spark, e.order_totals(), f"orders_{abs(hash(e.root))}", RETAIL["net_revenue"].transforms)
     return rounded(
-        prepared.groupBy("region", day_text("order_ts").alias("day"))
+        e.order_totals().groupBy("region", day_text("order_ts").alias("day"))
         .agg(F.sum("net").cast("double").alias("value")), MONEY, "value")
 
 
@@ -117,7 +115,7 @@ def reproduce_diff(e: Estate) -> DataFrame:
     sliced = metrics.net_value(e.sales(), config.SALES_DIMS)
     engine = metrics.roll_up(sliced, RETAIL["net_revenue"], ("ts", "region"))
     rerun = (
-        e.order_totals().groupBy(F.date_trunc("day", "order_ts").alias("ts"), "region")
+        e.fold_orders().groupBy(F.date_trunc("day", "order_ts").alias("ts"), "region")
         .agg(F.sum("net").cast("double").alias("value"))
     )
     return metrics.reproduced(engine, rerun, ("ts", "region"), 1e-6)
@@ -333,7 +331,11 @@ def hour_series(e: Estate) -> DataFrame:
 
 
 def scored(e: Estate) -> DataFrame:
-    """Every retail series scored at its own grain."""
+    """Every retail series scored at its own grain, kept as a stage."""
+    return e.stage("scored", lambda: score_all(e))
+
+
+def score_all(e: Estate) -> DataFrame:
     wanted = ("kpi_id", "region", "ts", "value", "n", "festival", "beta", "level", "log_trend",
               "log_season", "residual", "centre", "mad", "expected", "noise", "scale", "z",
               "band_low", "band_high")

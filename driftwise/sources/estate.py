@@ -8,13 +8,21 @@ the session's threshold, and to adaptive execution for skewed keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwise.config import ROUTES
 from driftwise.functions.columns import money, pick
+from driftwise.operators.lineage import materialise, snapshot
+from driftwise.operators.metrics import bridge_facts
 from driftwise.session import prepare
 
+# Change when a stage's meaning changes without its columns changing.
+STAGE_VERSION = "1"
+_SNAPSHOTS: dict[tuple[str, str], str] = {}
+
 READABLE = frozenset((
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -60,6 +68,16 @@ class Estate:
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A result many jobs share, written once per snapshot of the sources.
+
+        A session sees one snapshot: the sources are listed on first use.
+        """
+        held = (self.spark.sparkContext.applicationId, self.root)
+        if held not in _SNAPSHOTS:
+            _SNAPSHOTS[held] = snapshot(self.spark, self.root)
+        return materialise(self.spark, build(), name, (_SNAPSHOTS[held], STAGE_VERSION))
+
     # --- raw scans --------------------------------------------------------
     def table(self, name: str, limit: int | None = None) -> DataFrame:
         """One source table; a name outside the list is refused, not guessed."""
@@ -136,6 +154,15 @@ class Estate:
         return frame.withColumn("order_ts", local_clock()) if clock else frame
 
     def order_totals(self) -> DataFrame:
+        """Net value per order, kept as a stage."""
+        return self.stage("order_totals", self.fold_orders)
+
+    def daily_facts(self) -> DataFrame:
+        """Exact units and revenue per day, product and slice, kept as a stage."""
+        return self.stage("daily_facts", lambda: bridge_facts(
+            self.sales(), "sku", ("region", "channel", "category", "device")))
+
+    def fold_orders(self) -> DataFrame:
         """Net value per order, summed before any dimension is joined.
 
         Lines are folded to orders first, on the key they are next joined on, so
