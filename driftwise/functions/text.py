@@ -50,6 +50,9 @@ ISSUE_TERMS: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 RESIDUAL_ISSUE = "other"
 
+# Issues that can name a business event.
+EVENT_ISSUES = ("checkout_failure", "payment_failure", "delivery_delay", "stockout", "pricing")
+
 # Which complaints count as support for a note of each subject.
 RELATED_ISSUES: dict[str, tuple[str, ...]] = {
     "checkout_failure": ("checkout_failure", "payment_failure"),
@@ -127,32 +130,39 @@ FENCE, FENCE_END = "<<<DOCUMENT>>>", "<<<END DOCUMENT>>>"
 MAX_QUARANTINED = 4000
 
 
-def mentions(lowered: Column, phrase: str) -> Column:
-    """A whole phrase, plural allowed. The cheap containment test runs first."""
-    pattern = rf"(?<![a-z0-9]){re.escape(phrase)}(?:s|es)?(?![a-z0-9])"
-    return F.contains(lowered, F.lit(phrase)) & lowered.rlike(pattern)
-
-
 def longest_term(text: Column, terms: Mapping[str, str]) -> Column:
-    """What the longest phrase present stands for; null when none is."""
-    lowered = F.lower(text)
-    ordered = sorted(terms.items(), key=lambda kv: -len(kv[0]))
-    return F.coalesce(*[F.when(mentions(lowered, phrase), F.lit(value)) for phrase, value in ordered])
-
-
-def first_issue(text: Column, terms: Sequence[tuple[str, tuple[str, ...]]] = ISSUE_TERMS,
-                residual: str = RESIDUAL_ISSUE) -> Column:
-    """Issue and matched position of the first wording found, in vocabulary order."""
-    lowered = F.lower(text)
-    options = [
-        F.when(F.contains(lowered, F.lit(term)), F.struct(
-            F.lit(issue).alias("issue"), F.instr(lowered, F.lit(term)).alias("at"),
-            F.lit(0.7).alias("confidence")))
-        for issue, wordings in terms for term in wordings
-    ]
-    none = F.struct(F.lit(residual).alias("issue"), F.lit(1).alias("at"),
-                    F.lit(0.3).alias("confidence"))
-    return F.coalesce(*options, none)
+    """What the longest whole phrase present stands for; null when none is.
+
+    Plurals count. One scan tries the phrases, longest first, at every word
+    start without consuming text, so phrases that overlap are all seen; of equal
+    lengths the one named first wins.
+    """
+    phrases = list(terms)
+    tried = "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: -len(p)))
+    pattern = rf"(?<![a-z0-9])(?=({tried})(?:s|es)?(?![a-z0-9]))"
+    named = F.array(*[F.lit(p) for p in phrases])
+    values = F.array(*[F.lit(v) for v in terms.values()])
+    hits = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+    best = F.array_max(F.transform(hits, lambda p: F.struct(
+        F.length(p).alias("size"), (-F.array_position(named, p)).alias("place"))))
+    return F.get(values, (-best["place"] - 1).cast("int"))
+
+
+def issue_of(text: Column, terms: Sequence[tuple[str, tuple[str, ...]]] = ISSUE_TERMS,
+             residual: str = RESIDUAL_ISSUE) -> Column:
+    """The first issue, in vocabulary order, one of whose wordings is present."""
+    return F.coalesce(*[
+        F.when(text.rlike("(?i)" + "|".join(re.escape(w) for w in wordings)), F.lit(issue))
+        for issue, wordings in terms], F.lit(residual))
+
+
+def issue_place(lowered: Column, issue: Column,
+                terms: Sequence[tuple[str, tuple[str, ...]]] = ISSUE_TERMS) -> Column:
+    """1-based place of the issue's first wording found, in vocabulary order."""
+    return F.coalesce(*[
+        F.when(issue == name, F.coalesce(
+            *[F.nullif(F.instr(lowered, F.lit(w)), F.lit(0)) for w in wordings]))
+        for name, wordings in terms], F.lit(1))
 
 
 def bone(kind: Column, description: Column) -> Column:
@@ -187,15 +197,20 @@ def version_of(candidate_id: Column) -> Column:
 
 def injection_flags(text: Column) -> Column:
     """Labels of hidden instructions found, each once, in pattern order."""
-    lowered = F.lower(text)
     return F.array_distinct(F.array_compact(F.array(*[
-        F.when(lowered.rlike(pattern), F.lit(label)) for pattern, label in INJECTION_PATTERNS])))
+        F.when(text.rlike("(?i)" + unicode_aware(pattern)), F.lit(label))
+        for pattern, label in INJECTION_PATTERNS])))
+
+
+def unicode_aware(pattern: str) -> str:
+    """Word and digit classes over all scripts, not ASCII alone."""
+    return "(?U)" + pattern
 
 
 def redact(text: Column, domains: Sequence[str]) -> Column:
     for domain in domains:
         for pattern, placeholder in DOMAINS.get(domain, ()):
-            text = F.regexp_replace(text, pattern, placeholder)
+            text = F.regexp_replace(text, unicode_aware(pattern), placeholder)
     return text
 
 
@@ -204,10 +219,10 @@ def redaction_counts(text: Column, domains: Sequence[str]) -> Column:
     told = []
     for domain in domains:
         for pattern, placeholder in DOMAINS.get(domain, ()):
-            count = F.regexp_count(text, F.lit(pattern))
+            count = F.regexp_count(text, F.lit(unicode_aware(pattern)))
             told.append(F.when(count > 0, F.concat(
                 F.lit(f"{domain}:{placeholder.strip('[]')} x"), count.cast("string"))))
-            text = F.regexp_replace(text, pattern, placeholder)
+            text = F.regexp_replace(text, unicode_aware(pattern), placeholder)
     return F.array_compact(F.array(*told))
 
 
@@ -221,29 +236,6 @@ def quarantined(text: Column, domains: Sequence[str] = (), limit: int = MAX_QUAR
         .otherwise(safe)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences with their 0-based start and end, as an array of structs.
-
-    Each separator run is kept with the sentence it follows while splitting, so
-    offsets are running lengths and repeated sentences keep their own place.
-    """
-    pieces = F.split(F.regexp_replace(text, r"(?<=[.!?])(\s+)", "$1\u0001"), "\u0001")
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"),
-                 F.array().cast("array<struct<start:int,end:int,quote:string>>").alias("out")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                acc["at"].alias("start"),
-                (acc["at"] + F.length(bare(piece))).alias("end"),
-                bare(piece).alias("quote")))).alias("out")),
-    )
-    kept = F.filter(walked["out"], lambda s: s["quote"] != "")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("quote")))
-    return F.when(F.size(kept) > 0, kept).otherwise(whole)
-
-
 def bare(piece: Column) -> Column:
     """A piece without the separator run that ends it."""
     return F.regexp_replace(piece, r"(?<=[.!?])\s+$", "")

@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from driftwise.session import shared_folder
 
@@ -70,10 +69,9 @@ def apply_chain(frame: DataFrame, chain: Iterable[str], **overrides: Callable) -
     return reduce(lambda out, name: out.transform(steps[name]), names, frame)
 
 
-def stage_name(base: str, chain: Sequence[str], schema: StructType) -> str:
-    """A folder name that changes when the base, the chain or the columns do."""
-    payload = "|".join((base, *chain, schema.json()))
-    return f"prepared_{base}_{hashlib.sha256(payload.encode()).hexdigest()[:12]}"
+def stage_name(base: str, chain: Sequence[str]) -> str:
+    """A folder name that changes when the base or anything in the chain does."""
+    return f"prepared_{base}_{hashlib.sha256('|'.join((base, *chain)).encode()).hexdigest()[:12]}"
 
 
 def snapshot(spark: SparkSession, root: str) -> str:
@@ -86,23 +84,23 @@ def snapshot(spark: SparkSession, root: str) -> str:
     return hashlib.sha256(f"{root}|{tuple(seen)}".encode()).hexdigest()[:12]
 
 
-def materialise(spark: SparkSession, frame: DataFrame, base: str, chain: Sequence[str] = (),
-                partition_by: Sequence[str] = ()) -> DataFrame:
+def materialise(spark: SparkSession, build: Callable[[], DataFrame], base: str,
+                chain: Sequence[str] = ()) -> DataFrame:
     """Write a prepared table once to the shared folder and read it from there.
 
-    A second call with the same base, chain and columns reads what is there, so
-    every job on one fact table pays for its lineage once. The written files
-    also cut lineage: a lost executor costs a re-read, not a recomputation. The
-    marker is written last, so a half-written table is never taken for whole.
+    A second call with the same base and chain reads what is there and builds
+    nothing, so every job on one fact table pays for its lineage once. The
+    written files also cut lineage: a lost executor costs a re-read, not a
+    recomputation. The marker is written last, so a half-written table is never
+    taken for whole.
     """
-    path = f"{shared_folder(spark)}/{stage_name(base, chain, frame.schema)}"
+    path = f"{shared_folder(spark)}/{stage_name(base, chain)}"
     try:
-        spark.read.parquet(f"{path}/done").schema
+        spark.read.schema("id bigint").parquet(f"{path}/done")
     except AnalysisException:
-        writer = frame.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/rows")
+        build().write.mode("overwrite").parquet(f"{path}/rows")
         spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
-    return spark.read.parquet(f"{path}/rows").select(*frame.columns)
+    return spark.read.parquet(f"{path}/rows")
 
 
 def entitled(frame: DataFrame, regions: Sequence[str] | None) -> DataFrame:

@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from driftwise.plans import cause_jobs, series_jobs  # noqa: F401
+    from driftwise.plans import cause_jobs, series_jobs, text_jobs  # noqa: F401

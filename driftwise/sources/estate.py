@@ -8,7 +8,9 @@ the session's threshold, and to adaptive execution for skewed keys.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +21,15 @@ from driftwise.operators.lineage import materialise, snapshot
 from driftwise.operators.metrics import bridge_facts
 from driftwise.session import prepare
 
-# Change when a stage's meaning changes without its columns changing.
-STAGE_VERSION = "1"
+def _code_digest() -> str:
+    """A digest of this package's own source, so new code never reads old stages."""
+    digest = hashlib.sha256()
+    for path in sorted(Path(__file__).parents[1].rglob("*.py")):
+        digest.update(path.read_bytes())
+    return digest.hexdigest()[:12]
+
+
+STAGE_VERSION = _code_digest()
 _SNAPSHOTS: dict[tuple[str, str], str] = {}
 
 READABLE = frozenset((
@@ -76,7 +85,7 @@ class Estate:
         held = (self.spark.sparkContext.applicationId, self.root)
         if held not in _SNAPSHOTS:
             _SNAPSHOTS[held] = snapshot(self.spark, self.root)
-        return materialise(self.spark, build(), name, (_SNAPSHOTS[held], STAGE_VERSION))
+        return materialise(self.spark, build, name, (_SNAPSHOTS[held], STAGE_VERSION))
 
     # --- raw scans --------------------------------------------------------
     def table(self, name: str, limit: int | None = None) -> DataFrame:
