@@ -2,4 +2,9 @@
 
 
 def load() -> None:
-    from driftwise.plans import cause_jobs, series_jobs, text_jobs  # noqa: F401
+    from driftwise.plans import (  # noqa: F401
+        cause_jobs,
+        diagnosis_jobs,
+        series_jobs,
+        text_jobs,
+    )
