@@ -269,7 +269,7 @@ def fair_target(e: Estate) -> DataFrame:
 
 @job("recovery_outlook")
 def recovery_outlook(e: Estate) -> DataFrame:
-    return rounded(actions.outlook(cards(e), diagnoses(e)), 1, "recoverable", "not_actionable")
+    return actions.outlook(cards(e), diagnoses(e))
 
 
 @job("accountability")
@@ -333,7 +333,7 @@ def persona_rows(e: Estate, persona: str) -> DataFrame:
     out = governance.persona_view(frame, cards(e), ENTITLED, persona)
     numbers = [c for c in ("total_change", "explained", "overlap", "score", "recoverable")
                if c in out.columns]
-    return rounded(out, 4, *numbers)
+    return rounded(out, 5, *numbers)
 
 
 for _persona in governance.PERSONA_COLUMNS:
@@ -377,7 +377,7 @@ def facts_told(e: Estate) -> DataFrame:
 @job("fact_table")
 def fact_table(e: Estate) -> DataFrame:
     return facts_told(e).groupBy("finding_id", "kind", "unit", "state").agg(
-        F.count(F.lit(1)).alias("facts"), F.round(F.sum("value"), 3).alias("value"),
+        F.count(F.lit(1)).alias("facts"), F.round(F.sum("value"), 5).alias("value"),
         F.min("claim").alias("first_claim"))
 
 

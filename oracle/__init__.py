@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from oracle import cause_sql, series_sql, text_sql, views
+from oracle import cause_sql, diagnosis_sql, series_sql, text_sql, views
 
-VIEWS: dict[str, str] = {**views.VIEWS, **series_sql.VIEWS, **cause_sql.VIEWS, **text_sql.VIEWS}
-ANSWERS: dict[str, str] = {**series_sql.ANSWERS, **cause_sql.ANSWERS, **text_sql.ANSWERS}
+VIEWS: dict[str, str] = {**views.VIEWS, **series_sql.VIEWS, **cause_sql.VIEWS, **text_sql.VIEWS,
+                         **diagnosis_sql.VIEWS}
+ANSWERS: dict[str, str] = {**series_sql.ANSWERS, **cause_sql.ANSWERS, **text_sql.ANSWERS,
+                           **diagnosis_sql.ANSWERS}
 
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 

@@ -176,7 +176,7 @@ VIEWS = {
     "v_audit": """
         SELECT seq, body,
                CASE WHEN seq % 4999 = 0 THEN sha256(body || '!') ELSE sha256(body) END AS hash,
-               coalesce((SELECT NULL), lag(sha256(body)) OVER (ORDER BY seq), repeat('0', 64)) AS prev
+               coalesce(lag(sha256(body)) OVER (ORDER BY seq), repeat('0', 64)) AS prev
         FROM (SELECT event_id + 1 AS seq,
                      event_id || '|' || event_type || '|' || user_id || '|' || props AS body
               FROM events)""",
