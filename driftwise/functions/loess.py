@@ -1,0 +1,63 @@
+"""Seasonal-trend decomposition of one evenly indexed series, in numpy.
+
+A small helper run inside one task per series; Spark does the grouping. Follows
+the published procedure: seasonal smoothing of each phase, a low-pass filter, and
+a trend smoothing, all by locally weighted linear fits with tricube weights.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def loess(y: np.ndarray, window: int, degree: int = 1, at: np.ndarray | None = None) -> np.ndarray:
+    """Local fit of degree 0 or 1 on positions 0..n-1, evaluated at ``at``."""
+    n = len(y)
+    x = np.arange(n, dtype=float)
+    at = x if at is None else np.asarray(at, dtype=float)
+    q = min(window, n)
+    left = np.clip(np.round(at).astype(int) - (q - 1) // 2, 0, n - q)
+    index = left[:, None] + np.arange(q)[None, :]
+    away = np.abs(x[index] - at[:, None])
+    reach = away.max(axis=1) + (max(window - n, 0) // 2)
+    reach[reach == 0] = 1.0
+    near = np.clip(away / reach[:, None], 0, 1)
+    weight = (1 - near**3) ** 3
+    weight[near <= 0.001] = 1.0
+    weight[near >= 0.999] = 0.0
+    total = weight.sum(axis=1, keepdims=True)
+    total[total == 0] = 1.0
+    weight = weight / total
+    values = y[index]
+    mean_y = (weight * values).sum(axis=1)
+    if degree == 0:
+        return mean_y
+    mean_x = (weight * x[index]).sum(axis=1)
+    centred = x[index] - mean_x[:, None]
+    spread = (weight * centred**2).sum(axis=1)
+    slope = np.where(spread > 1e-6, (weight * centred * values).sum(axis=1)
+                     / np.where(spread > 1e-6, spread, 1.0), 0.0)
+    return mean_y + slope * (at - mean_x)
+
+
+def moving(y: np.ndarray, size: int) -> np.ndarray:
+    return np.convolve(y, np.ones(size) / size, mode="valid")
+
+
+def decompose(y: np.ndarray, period: int, trend_window: int, seasonal_window: int = 11,
+              rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasonal parts of a series."""
+    n = len(y)
+    low_window = period + 1 if period % 2 == 0 else period + 2
+    trend, season = np.zeros(n), np.zeros(n)
+    for _ in range(rounds):
+        raw = y - trend
+        cycle = np.zeros(n + 2 * period)
+        for phase in range(period):
+            sub = raw[phase::period]
+            ends = np.arange(-1, len(sub) + 1)
+            cycle[phase::period][: len(sub) + 2] = loess(sub, seasonal_window, 1, ends)
+        low = loess(moving(moving(moving(cycle, period), period), 3), low_window, 1)
+        season = cycle[period:period + n] - low[:n]
+        trend = loess(y - season, trend_window, 1)
+    return trend, season

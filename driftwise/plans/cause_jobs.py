@@ -30,6 +30,11 @@ SALES_SCOPE = {
 
 
 def cases(e: Estate) -> DataFrame:
+    """The findings the diagnosis jobs explain, kept as a stage."""
+    return e.stage("cases", lambda: open_cases(e))
+
+
+def open_cases(e: Estate) -> DataFrame:
     """One finding per region and month: its first fortnight."""
     months = regional(e).filter("kpi_id = 'net_revenue'").select(
         "region", F.date_trunc("month", "ts").cast("date").alias("start")).distinct()
@@ -182,6 +187,11 @@ def plan_candidates(e: Estate) -> DataFrame:
 
 
 def all_candidates(e: Estate) -> DataFrame:
+    """Candidates from notes and plan for every finding, kept as a stage."""
+    return e.stage("candidates", lambda: gather(e))
+
+
+def gather(e: Estate) -> DataFrame:
     return from_notes(e).unionByName(
         cands.plan_candidates(cases(e), e.plan()), allowMissingColumns=True)
 

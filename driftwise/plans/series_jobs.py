@@ -389,6 +389,14 @@ def robust_z(e: Estate) -> DataFrame:
     return stamped(rounded(out, 5, "centre", "mad", "z"), "ts")
 
 
+@job("loess_baseline")
+def loess_baseline(e: Estate) -> DataFrame:
+    """The LOESS fit of every daily series, beside the built-in estimate."""
+    out = detection.loess_baseline(day_series(e), "day").select(
+        "kpi_id", "region", "ts", "log_trend", "log_season", "z")
+    return stamped(rounded(out, 6, "log_trend", "log_season", "z"), "ts")
+
+
 @job("noise_profile")
 def noise_profile(e: Estate) -> DataFrame:
     out = scored(e).filter("n is not null").select("kpi_id", "region", "ts", "noise", "scale")

@@ -41,14 +41,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint setting.
 
-    Only where none is set, as in tests on one machine, is a local one made and
-    recorded on the session so later calls agree.
+    Only where the session names none, as in tests on one machine, is one made,
+    once per application, and given to the context for checkpoints too.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="driftwise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="driftwise-")
+        spark.sparkContext.setCheckpointDir(_OWN_FOLDERS[app])
+    return _OWN_FOLDERS[app]
