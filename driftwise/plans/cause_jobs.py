@@ -140,8 +140,8 @@ def parsed(e: Estate) -> DataFrame:
     return cands.read_notes(e.notes(), skus(e), SALES_SCOPE)
 
 
-def from_notes(e: Estate) -> DataFrame:
-    return cands.note_candidates(cases(e), parsed(e))
+def from_notes(e: Estate, found: DataFrame) -> DataFrame:
+    return cands.note_candidates(found, parsed(e))
 
 
 def shown(frame: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def shown(frame: DataFrame) -> DataFrame:
 
 @job("note_candidates")
 def note_candidates(e: Estate) -> DataFrame:
-    return shown(from_notes(e)).select(
+    return shown(from_notes(e, cases(e))).select(
         "finding_id", "doc_id", "candidate_id", "kind", "start", "end", "exposed", "channel",
         "device", "category", "sku")
 
@@ -188,12 +188,12 @@ def plan_candidates(e: Estate) -> DataFrame:
 
 def all_candidates(e: Estate) -> DataFrame:
     """Candidates from notes and plan for every finding, kept as a stage."""
-    return e.stage("candidates", lambda: gather(e))
+    return e.stage("candidates", lambda: gather(e, cases(e)))
 
 
-def gather(e: Estate) -> DataFrame:
-    return from_notes(e).unionByName(
-        cands.plan_candidates(cases(e), e.plan()), allowMissingColumns=True)
+def gather(e: Estate, found: DataFrame) -> DataFrame:
+    return from_notes(e, found).unionByName(
+        cands.plan_candidates(found, e.plan()), allowMissingColumns=True)
 
 
 @job("relevance")
@@ -209,9 +209,10 @@ def fishbone(e: Estate) -> DataFrame:
 
 
 # --- causal tests ---------------------------------------------------------------------
-def movements(e: Estate) -> DataFrame:
+def movements(e: Estate, found: DataFrame | None = None) -> DataFrame:
     """Each finding's level before and during, per day, and which way it went."""
-    periods = parts.two_periods(cases(e), net_by_day(e).select(
+    found = cases(e) if found is None else found
+    periods = parts.two_periods(found, net_by_day(e).select(
         "region", "d", F.col("primary").alias("revenue"), F.lit(0.0).alias("units")), ())
     return periods.select(
         "finding_id", F.col("revenue_0").alias("base_revenue"),
@@ -221,12 +222,14 @@ def movements(e: Estate) -> DataFrame:
 
 def tested(e: Estate) -> DataFrame:
     """Every relevant candidate with its outcomes and verdict, kept as a stage."""
-    return e.stage("tested", lambda: test_all(e))
+    moved = lambda: movements(e).select(
+        "finding_id", F.signum("total_change").alias("movement"))
+    return e.stage("tested", lambda: test_all(e, all_candidates(e), moved()))
 
 
-def test_all(e: Estate) -> DataFrame:
-    kept = cands.relevance(all_candidates(e)).filter("relevant").drop("relevant", "set_aside")
-    moved = movements(e).select("finding_id", F.signum("total_change").alias("movement"))
+def test_all(e: Estate, found: DataFrame, moved: DataFrame) -> DataFrame:
+    """Test the relevant ones; ``moved`` gives each finding's direction."""
+    kept = cands.relevance(found).filter("relevant").drop("relevant", "set_aside")
     return causal.verify(kept.join(moved, "finding_id", "left"), facts(e))
 
 

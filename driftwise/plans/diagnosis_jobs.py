@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from driftwise import config
 from driftwise.config import RETAIL
 from driftwise.functions.columns import day_text, pick
-from driftwise.operators import actions, confidence, governance, lineage, signals
+from driftwise.operators import actions, confidence, detection, governance, lineage, signals
 from driftwise.operators import decomposition as parts
 from driftwise.plans.cause_jobs import (
     cases,
     facts,
+    gather,
     movements,
     net_by_day,
     posted,
     slices,
+    test_all,
     tested,
 )
 from driftwise.plans.registry import job
-from driftwise.plans.series_jobs import ENTITLED, contracts, flagged, peaks, rounded
-from driftwise.plans.text_jobs import supported, verified
+from driftwise.plans.series_jobs import (
+    ENTITLED,
+    contracts,
+    findings,
+    flagged,
+    peaks,
+    rounded,
+    scored,
+)
+from driftwise.plans.text_jobs import support_all, supported, verified
 from driftwise.sources.estate import Estate
 
 KPI = RETAIL["net_revenue"]
@@ -50,17 +60,49 @@ def diagnoses(e: Estate) -> DataFrame:
 
 
 def diagnose(e: Estate, freshness: float = 1.0, stale: str = "") -> DataFrame:
-    causes = sized(e)
-    support = supported(e).groupBy("finding_id").agg(F.sum("supporting").alias("supporting"))
+    return judge(e, cases(e), sized(e), supported(e), freshness, stale)
+
+
+def judge(e: Estate, found: DataFrame, causes: DataFrame, support: DataFrame,
+          freshness: float = 1.0, stale: str = "") -> DataFrame:
+    """Contradicted beats unknown, and unknown beats explained."""
+    backed = support.groupBy("finding_id").agg(F.sum("supporting").alias("supporting"))
     judged = confidence.scored(
-        confidence.explained(movements(e), causes), confidence.strongest(causes), support,
+        confidence.explained(movements(e, found), causes), confidence.strongest(causes), backed,
         F.lit(freshness), F.lit(stale), confidence.contradictions(causes))
-    days = parts.reconcile_days(cases(e), net_by_day(e), posted(e))
-    state = parts.reconcile_state(cases(e), days).select("finding_id", F.col("state").alias("ledger"))
+    days = parts.reconcile_days(found, net_by_day(e), posted(e))
+    state = parts.reconcile_state(found, days).select("finding_id", F.col("state").alias("ledger"))
     verdict = F.when(F.col("ledger") == "contradicted", "contradicted") \
         .when(F.col("band") == "unknown", "unknown").otherwise("explained")
-    return judged.join(cases(e), "finding_id").join(state, "finding_id") \
-        .withColumn("verdict", verdict)
+    return judged.join(found, "finding_id").join(state, "finding_id").withColumn("verdict", verdict)
+
+
+QUEUE = 25
+
+
+@job("diagnosed_queue")
+def diagnosed_queue(e: Estate) -> DataFrame:
+    """Detection to verdict: the largest revenue findings, each diagnosed.
+
+    The movement's direction is measured against the expected line, not against
+    the fortnight before, which a seasonal ramp can point the wrong way.
+    """
+    revenue = detection.queue(findings(e).filter(F.col("kpi_id") == KPI.kpi_id), QUEUE, "both")
+    found = e.stage("queue", lambda: revenue.select(
+        F.concat_ws("|", "region", "direction", day_text("start")).alias("finding_id"),
+        "kpi_id", "region", "start", "end"))
+    moved = detection.expected_direction(scored(e), found).select(
+        "finding_id", F.signum("gap").alias("movement"))
+    places = found.drop("kpi_id")
+    causes = e.stage("queue_causes", lambda: test_all(e, gather(e, places), moved))
+    proven = confidence.contributions_of(causes.filter("state = 'verified'"), facts(e))
+    out = judge(e, places, proven, support_all(e, causes.filter("state = 'verified'")))
+    ruled = causes.groupBy("finding_id").agg(
+        F.count_if(F.col("state") == "rejected").alias("rejected"),
+        F.count_if(F.col("state") == "cannot_verify").alias("untested"))
+    return rounded(out.join(ruled, "finding_id", "left").na.fill(0, ["rejected", "untested"]).select(
+        "finding_id", "total_change", "causes", "rejected", "untested", "explained", "score", "band",
+        "verdict"), 5, "total_change", "explained", "score")
 
 
 @job("explained")

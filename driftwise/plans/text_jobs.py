@@ -89,12 +89,12 @@ def verified(e: Estate) -> DataFrame:
 
 def supported(e: Estate) -> DataFrame:
     """Every verified candidate with what the tickets say about it, as a stage."""
-    return e.stage("supported", lambda: support_all(e))
+    return e.stage("supported", lambda: support_all(e, verified(e)))
 
 
-def support_all(e: Estate) -> DataFrame:
+def support_all(e: Estate, causes: DataFrame) -> DataFrame:
     ids = F.concat_ws("|", "finding_id", "doc_id")
-    asked = verified(e).select(
+    asked = causes.select(
         ids.alias("query_id"), words.complaint_query(F.col("description")).alias("query"),
         F.col("start").cast("timestamp_ntz").alias("lo"),
         (F.col("end").cast("timestamp_ntz") + F.expr("interval '23:59:59.999999' hour to second"))
@@ -106,7 +106,7 @@ def support_all(e: Estate) -> DataFrame:
         "text", words.quarantined(F.col("text"), FLAG_ROWS))
     read = search.readings(safe, {}).select("doc_id", "issue").join(safe.select("doc_id", "flags"), "doc_id")
     counts = search.support(matches, asked.select("query_id", "expected"), read)
-    keyed = verified(e).select(ids.alias("query_id"), "finding_id", "doc_id")
+    keyed = causes.select(ids.alias("query_id"), "finding_id", "doc_id")
     return keyed.join(counts, "query_id").drop("query_id")
 
 

@@ -104,9 +104,11 @@ VIEWS = {
               GROUP BY ALL)""",
     "v_moved": """
         SELECT finding_id, coalesce(sum(net) FILTER (d < case_start), 0) / 14 AS base_revenue,
-               coalesce(sum(net) FILTER (d >= case_start), 0) / 14 AS current_revenue
+               coalesce(sum(net) FILTER (d >= case_start), 0)
+                 / any_value(case_end - case_start + 1) AS current_revenue
         FROM v_cases c JOIN v_net_day n ON n.region = c.region AND n.d BETWEEN case_start - 14 AND case_end
         GROUP BY finding_id""",
+    "v_direction": "SELECT finding_id, sign(current_revenue - base_revenue) AS movement FROM v_moved",
     "v_driver_days": "SELECT p.*, n.net FROM v_drivers p JOIN v_net_day n USING (region, d)",
     "v_brands": """
         SELECT DISTINCT p_brand AS sku, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS code
@@ -188,11 +190,11 @@ VIEWS = {
         SELECT k.*, w.effect, w.control_change, w.effect - w.control_change AS did, w.pre_trend,
                coalesce(r.usable, 0) AS usable_regions, coalesce(r.responding, 0) AS responding,
                coalesce(p.placebo_count, 0) AS placebo_count, p.placebo_max,
-               sign(m.current_revenue - m.base_revenue) AS movement
+               m.movement
         FROM v_kept_candidates k
         LEFT JOIN v_wide w ON w.finding_id = k.finding_id AND w.doc_id = k.doc_id
         LEFT JOIN v_placebos p ON p.finding_id = k.finding_id AND p.doc_id = k.doc_id
-        LEFT JOIN v_moved m ON m.finding_id = k.finding_id
+        LEFT JOIN v_direction m ON m.finding_id = k.finding_id
         LEFT JOIN (SELECT e.finding_id, e.doc_id, count(move) AS usable,
                           count(*) FILTER (move * CASE WHEN x.effect < 0 THEN -1 ELSE 1 END >= 0.04)
                             AS responding

@@ -536,3 +536,25 @@ ANSWERS = {
         arg_min(problem, seq) FILTER (problem IS NOT NULL) AS reason FROM v_chain""",
     "chain_breaks": "SELECT seq, problem FROM v_chain WHERE problem IS NOT NULL",
 }
+
+# The whole chain again over the detected queue instead of the monthly cases.
+OVERRIDES = {
+    "diagnosed_queue": {
+        "v_cases": """
+            SELECT region || '|' || direction || '|' || strftime(start_day, '%Y-%m-%d') AS finding_id,
+                   region, start_day AS case_start, end_day AS case_end
+            FROM (SELECT * FROM v_findings WHERE kpi_id = 'net_revenue'
+                  ORDER BY impact DESC, kpi_id, region, start_day LIMIT 25)""",
+        "v_direction": """
+            SELECT finding_id, sign(nullif(sum(value - expected), 0)) AS movement
+            FROM v_cases c JOIN v_scored s ON s.kpi_id = 'net_revenue' AND s.region = c.region
+              AND CAST(s.ts AS DATE) BETWEEN case_start AND case_end GROUP BY finding_id""",
+    },
+}
+ANSWERS["diagnosed_queue"] = """SELECT finding_id, round(total_change, 5) AS total_change, causes,
+    coalesce(rejected, 0) AS rejected, coalesce(untested, 0) AS untested, round(explained, 5) AS explained,
+    round(score, 5) AS score, band, verdict
+    FROM v_diagnoses LEFT JOIN (
+      SELECT finding_id, count(*) FILTER (state = 'rejected') AS rejected,
+             count(*) FILTER (state = 'cannot_verify') AS untested FROM v_verdicts GROUP BY finding_id)
+      USING (finding_id)"""
