@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.functions.columns import any_phrase
+
 # Phrases that name a slice of the business, by dimension.
 SCOPE_TERMS: dict[str, dict[str, str]] = {
     "channel": {
@@ -96,33 +98,41 @@ BONE_BY_KIND = {"release_log": "platform", "promotion": "demand"}
 REMEDIATION = r"(?i)\b(roll(?:ed)?[- ]?back|revert(?:ed)?|hotfix(?:ed)?)\b"
 
 # Patterns of instructions hidden in a record, and their label.
-INJECTION_PATTERNS: tuple[tuple[str, str], ...] = (
-    (r"ignore\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+\w*\s*instructions?", "override attempt"),
-    (r"disregard\s+(the\s+)?(above|previous|prior|system)", "override attempt"),
-    (r"forget\s+(everything|all|what)\s+(you|we)", "override attempt"),
-    (r"you\s+are\s+now\s+(a|an)\s+", "role reassignment"),
-    (r"new\s+(system\s+)?(instructions?|prompt|rules?)\s*[:\-]", "instruction injection"),
-    (r"</?(system|instruction|prompt)>", "delimiter spoofing"),
-    (r"\bsystem\s*[:>]\s*", "delimiter spoofing"),
+# Third, words one of which every match contains: a plain search for them skips
+# the pattern on nearly all texts.
+INJECTION_PATTERNS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    (r"ignore\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+\w*\s*instructions?",
+     "override attempt", ("ignore",)),
+    (r"disregard\s+(the\s+)?(above|previous|prior|system)", "override attempt", ("disregard",)),
+    (r"forget\s+(everything|all|what)\s+(you|we)", "override attempt", ("forget",)),
+    (r"you\s+are\s+now\s+(a|an)\s+", "role reassignment", ("now",)),
+    (r"new\s+(system\s+)?(instructions?|prompt|rules?)\s*[:\-]", "instruction injection", ("new",)),
+    (r"</?(system|instruction|prompt)>", "delimiter spoofing", ("<",)),
+    (r"\bsystem\s*[:>]\s*", "delimiter spoofing", ("system",)),
     (r"(reveal|print|output|list|dump|show)\s+(all\s+|every\s+|the\s+)?"
-     r"(customer|user|password|secret|api\s*key|token|credential)", "data exfiltration"),
-    (r"execute\s+(this|the following)\s+(sql|query|command|code)", "command injection"),
-    (r"drop\s+table\b|delete\s+from\b|truncate\s+table\b", "sql in prose"),
-    (r"do\s+not\s+(report|mention|include|flag)\s+", "suppression attempt"),
+     r"(customer|user|password|secret|api\s*key|token|credential)", "data exfiltration",
+     ("customer", "user", "password", "secret", "api", "token", "credential")),
+    (r"execute\s+(this|the following)\s+(sql|query|command|code)", "command injection", ("execute",)),
+    (r"drop\s+table\b|delete\s+from\b|truncate\s+table\b", "sql in prose", ("table", "delete")),
+    (r"do\s+not\s+(report|mention|include|flag)\s+", "suppression attempt", ("not",)),
 )
 
+# What a text must hold for a masking pattern to match at all.
+AT_SIGN, DIGIT_RUN = "@", r"(?U)\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d"
+
 # Personal data, in the order it is masked.
-PERSONAL_PATTERNS: tuple[tuple[str, str], ...] = (
-    (r"[\w.+-]+@[\w-]+\.[\w.]+", "[email]"),
-    (r"\b[\w.-]{2,}@[a-zA-Z][a-zA-Z0-9]+\b(?![.@\w-])", "[upi]"),
-    (r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[pan]"),
-    (r"\b(?:\d[ -]?){15,18}\d\b", "[card]"),
-    (r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", "[card]"),
-    (r"(?:\+?91[ -]?)?\b[6-9]\d{4}[ -]?\d{5}\b", "[phone]"),
-    (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[id-number]"),
+PERSONAL_PATTERNS: tuple[tuple[str, str, str], ...] = (
+    (r"[\w.+-]+@[\w-]+\.[\w.]+", "[email]", AT_SIGN),
+    (r"\b[\w.-]{2,}@[a-zA-Z][a-zA-Z0-9]+\b(?![.@\w-])", "[upi]", AT_SIGN),
+    (r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[pan]", r"[0-9]{4}[A-Z]"),
+    (r"\b(?:\d[ -]?){15,18}\d\b", "[card]", DIGIT_RUN),
+    (r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", "[card]", DIGIT_RUN),
+    (r"(?:\+?91[ -]?)?\b[6-9]\d{4}[ -]?\d{5}\b", "[phone]", DIGIT_RUN),
+    (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[id-number]", DIGIT_RUN),
 )
-LOCATION_PATTERNS: tuple[tuple[str, str], ...] = (
-    (r"\b\d{1,4}[/,]?\s?[A-Z][a-z]+\s+(Road|Street|Marg|Nagar|Colony)\b", "[address]"),
+LOCATION_PATTERNS: tuple[tuple[str, str, str], ...] = (
+    (r"\b\d{1,4}[/,]?\s?[A-Z][a-z]+\s+(Road|Street|Marg|Nagar|Colony)\b", "[address]",
+     r"(?:Road|Street|Marg|Nagar|Colony)"),
 )
 DOMAINS = {"pii": PERSONAL_PATTERNS, "location": LOCATION_PATTERNS}
 
@@ -197,9 +207,10 @@ def version_of(candidate_id: Column) -> Column:
 
 def injection_flags(text: Column) -> Column:
     """Labels of hidden instructions found, each once, in pattern order."""
+    lowered = F.lower(text)
     return F.array_distinct(F.array_compact(F.array(*[
-        F.when(text.rlike("(?i)" + unicode_aware(pattern)), F.lit(label))
-        for pattern, label in INJECTION_PATTERNS])))
+        F.when(any_phrase(lowered, musts) & text.rlike("(?i)" + unicode_aware(pattern)), F.lit(label))
+        for pattern, label, musts in INJECTION_PATTERNS])))
 
 
 def unicode_aware(pattern: str) -> str:
@@ -207,23 +218,46 @@ def unicode_aware(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def may_match(text: Column, must: str) -> Column:
+    return F.contains(text, F.lit(must)) if must == AT_SIGN else text.rlike(must)
+
+
 def redact(text: Column, domains: Sequence[str]) -> Column:
-    for domain in domains:
-        for pattern, placeholder in DOMAINS.get(domain, ()):
-            text = F.regexp_replace(text, unicode_aware(pattern), placeholder)
-    return text
+    """Personal data masked. Texts that cannot match any pattern are left alone.
+
+    Each step names the text once: naming it more often would double the whole
+    chain with every step.
+    """
+    steps = [step for domain in domains for step in DOMAINS.get(domain, ())]
+    masked = text
+    for pattern, placeholder, _ in steps:
+        masked = F.regexp_replace(masked, unicode_aware(pattern), placeholder)
+    needed = F.lit(False)
+    for must in dict.fromkeys(must for _, _, must in steps):
+        needed = needed | may_match(text, must)
+    return F.when(needed, masked).otherwise(text)
 
 
-def redaction_counts(text: Column, domains: Sequence[str]) -> Column:
-    """How many of each kind were masked, counted before each masking step."""
+def redacted(frame: DataFrame, domains: Sequence[str], text: str = "text") -> DataFrame:
+    """The frame with its text masked and ``masked`` telling what was, and how often.
+
+    One masking step per column: each is counted on the text as it then stands,
+    and no step is worked out twice.
+    """
     told = []
     for domain in domains:
-        for pattern, placeholder in DOMAINS.get(domain, ()):
-            count = F.regexp_count(text, F.lit(unicode_aware(pattern)))
-            told.append(F.when(count > 0, F.concat(
-                F.lit(f"{domain}:{placeholder.strip('[]')} x"), count.cast("string"))))
-            text = F.regexp_replace(text, unicode_aware(pattern), placeholder)
-    return F.array_compact(F.array(*told))
+        for step, (pattern, placeholder, must) in enumerate(DOMAINS.get(domain, ())):
+            name = f"_{domain}_{step}"
+            found = F.when(may_match(F.col(text), must), F.regexp_count(
+                F.col(text), F.lit(unicode_aware(pattern)))).otherwise(0)
+            frame = frame.withColumn(name, found).withColumn(text, F.when(
+                F.col(name) > 0, F.regexp_replace(F.col(text), unicode_aware(pattern), placeholder))
+                .otherwise(F.col(text)))
+            told.append((name, f"{domain}:{placeholder.strip('[]')} x"))
+    masked = F.array_compact(F.array(*[
+        F.when(F.col(name) > 0, F.concat(F.lit(label), F.col(name).cast("string")))
+        for name, label in told]))
+    return frame.withColumn("masked", masked).drop(*[name for name, _ in told])
 
 
 def quarantined(text: Column, domains: Sequence[str] = (), limit: int = MAX_QUARANTINED) -> Column:

@@ -128,20 +128,18 @@ def injection_flags(e: Estate) -> DataFrame:
 
 @job("redact")
 def redact(e: Estate) -> DataFrame:
-    text = F.col("text")
-    return e.documents().select(
-        "doc_id", F.sha2(words.redact(text, ("pii",)), 256).alias("text"),
-        F.array_join(words.redaction_counts(text, ("pii",)), ",").alias("masked"))
+    out = words.redacted(e.documents(), ("pii",))
+    return out.select("doc_id", F.sha2("text", 256).alias("text"),
+                      F.array_join("masked", ",").alias("masked"))
 
 
 @job("quarantine")
 def quarantine(e: Estate) -> DataFrame:
-    text = F.col("text")
-    safe = words.quarantined(text, ("pii",))
-    return e.documents().select(
-        "doc_id", F.array_join(words.injection_flags(text), ",").alias("flags"),
-        F.length(safe).alias("length"), F.endswith(safe, F.lit(" [truncated]")).alias("cut"),
-        F.sha2(safe, 256).alias("text"))
+    safe = e.documents().withColumn("flags", words.injection_flags(F.col("text"))) \
+        .withColumn("safe", words.quarantined(F.col("text"), ("pii",)))
+    return safe.select(
+        "doc_id", F.array_join("flags", ",").alias("flags"), F.length("safe").alias("length"),
+        F.endswith("safe", F.lit(" [truncated]")).alias("cut"), F.sha2("safe", 256).alias("text"))
 
 
 @job("citation_spans")
@@ -172,9 +170,8 @@ def extract_score(e: Estate) -> DataFrame:
 @job("doc_view")
 def doc_view(e: Estate) -> DataFrame:
     """Documents a reader of two regions may open: masked text, original flags."""
-    text = F.col("text")
-    seen = e.documents().filter(F.col("region").isin(*ENTITLED, "All"))
-    masked = words.redact(text, ("pii",))
-    return seen.select("doc_id", "doc_type", "region", F.length(masked).alias("length"),
-                       F.array_join(words.injection_flags(text), ",").alias("flags"),
-                       F.sha2(masked, 256).alias("text"))
+    seen = e.documents().filter(F.col("region").isin(*ENTITLED, "All")) \
+        .withColumn("flags", words.injection_flags(F.col("text")))
+    return words.redacted(seen, ("pii",)).select(
+        "doc_id", "doc_type", "region", F.length("text").alias("length"),
+        F.array_join("flags", ",").alias("flags"), F.sha2("text", 256).alias("text"))

@@ -95,6 +95,16 @@ class Estate:
         frame = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return frame if limit is None else frame.limit(limit)
 
+    def wide(self, name: str) -> DataFrame:
+        """A table for heavy work per row, spread where its files are too few.
+
+        One file is often one task however many cores there are. With at least
+        as many files as cores the scan is left alone and nothing is shuffled.
+        """
+        frame = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
     # --- sales ------------------------------------------------------------
     def lines(self, dedupe: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
         """Order lines under their business names, repeated postings removed.
@@ -104,7 +114,7 @@ class Estate:
         key on the map side before shuffling (row_number() = 1), so a line
         posted millions of times never reaches one task whole.
         """
-        raw = self.table("lineitem").select(
+        raw = self.wide("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
             "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", *extra,
         )
@@ -226,7 +236,11 @@ class Estate:
         )
 
     def plan(self) -> DataFrame:
-        """The weekly plan by region and category, promotions included."""
+        """The weekly plan by region and category, kept as a stage."""
+        return self.stage("plan", self.weekly_plan)
+
+    def weekly_plan(self) -> DataFrame:
+        """Spend, stock and a price index per week, promotions included."""
         sales = self.sales(extra=("l_tax",), clock=False)
         week = F.date_trunc("week", F.col("order_ts")).cast("date")
         promo = F.expr("(weekofyear(week) + length(category)) % 5 = 0")
@@ -261,7 +275,7 @@ class Estate:
     # --- text ---------------------------------------------------------------
     def documents(self) -> DataFrame:
         """The document estate: long texts with a time, a kind and a region."""
-        return self.table("documents").select(
+        return self.wide("documents").select(
             "doc_id",
             pick(("support_ticket", "release_log", "ops_note"),
                  F.regexp_extract("source", "([0-9]+)", 1).cast("int")).alias("doc_type"),

@@ -19,7 +19,7 @@ def quoted(pattern: str) -> str:
 
 def flags(text: str) -> str:
     arms = ", ".join(f"CASE WHEN regexp_matches(lower({text}), {quoted(p)}) THEN '{label}' END"
-                     for p, label in INJECTION_PATTERNS)
+                     for p, label, _ in INJECTION_PATTERNS)
     # list_distinct does not keep order, so repeats are dropped by position.
     return (f"array_to_string(list_filter(list_filter([{arms}], lambda x: x IS NOT NULL),"
             f" lambda x, i: list_position(list_filter([{arms}], lambda y: y IS NOT NULL), x) = i), ',')")
