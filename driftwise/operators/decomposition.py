@@ -164,13 +164,17 @@ def rank_exact(slices: DataFrame, top: int = 8) -> DataFrame:
 
 def driver_moments(series: DataFrame, key: str, target: str, drivers: Sequence[str]) -> DataFrame:
     """Everything a ridge fit needs, as sums: counts, spreads and correlations."""
+    def corr(a: str, b: str) -> Column:
+        """Null, not an error, where either side does not vary."""
+        return F.covar_samp(a, b) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
+
     whole = series.dropna(subset=[target, *drivers])
-    pair = [F.corr(a, b).alias(f"r_{i}_{j}") for i, a in enumerate(drivers)
+    pair = [corr(a, b).alias(f"r_{i}_{j}") for i, a in enumerate(drivers)
             for j, b in enumerate(drivers) if i < j]
     return whole.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s_y"),
         *[F.stddev_samp(d).alias(f"s_{i}") for i, d in enumerate(drivers)],
-        *[F.corr(d, target).alias(f"r_y_{i}") for i, d in enumerate(drivers)], *pair)
+        *[corr(d, target).alias(f"r_y_{i}") for i, d in enumerate(drivers)], *pair)
 
 
 RIDGE = "key string, driver string, coefficient double, observations bigint"
