@@ -55,15 +55,17 @@ def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def ranked_matches(queries: DataFrame, documents: DataFrame, stop_words: Sequence[str], k: int,
-                   min_score: float) -> DataFrame:
+                   min_score: float, counts: DataFrame | None = None) -> DataFrame:
     """Top documents per query by cosine of tf-idf, inside each query's window.
 
     ``queries`` carries query_id, query and the window lo and hi; ``documents``
     carries doc_id, ts and text. A document's words meet only the queries that
     share one, partial sums are taken before the shuffle, and at most k rows per
-    query leave any task.
+    query leave any task. ``counts`` may hand in the documents' word counts where
+    a caller keeps them, so the texts are split only once.
     """
-    counts = term_counts(documents, ("doc_id", "ts"), "text", stop_words)
+    if counts is None:
+        counts = term_counts(documents, ("doc_id", "ts"), "text", stop_words)
     idf = inverse_frequency(counts, documents)
     docs = weighted(counts, idf)
     asked = weighted(term_counts(queries, ("query_id", "lo", "hi"), "query", stop_words), idf)
@@ -87,9 +89,11 @@ def ranked_matches(queries: DataFrame, documents: DataFrame, stop_words: Sequenc
 
 
 def best_sentences(matches: DataFrame, queries: DataFrame, documents: DataFrame,
-                   stop_words: Sequence[str]) -> DataFrame:
+                   stop_words: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """The sentence of each matched document nearest to the query."""
-    idf = inverse_frequency(term_counts(documents, ("doc_id",), "text", stop_words), documents)
+    if counts is None:
+        counts = term_counts(documents, ("doc_id",), "text", stop_words)
+    idf = inverse_frequency(counts, documents)
     hit = documents.join(matches.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = sentence_rows(hit)
     said = weighted(term_counts(lines, ("doc_id", "start"), "quote", stop_words), idf)

@@ -39,16 +39,26 @@ def passages(e: Estate) -> DataFrame:
         .withColumn("hi", F.col("lo") + F.expr("interval 540 days"))
 
 
+def word_counts(e: Estate) -> DataFrame:
+    """Word counts of every document, kept as a stage: split once, searched often."""
+    return e.stage("word_counts", lambda: search.term_counts(
+        e.documents(), ("doc_id", "ts"), "text", STOP_WORDS))
+
+
+def passage_matches(e: Estate) -> DataFrame:
+    return search.ranked_matches(passages(e), e.documents(), STOP_WORDS, 5, FLOOR, word_counts(e))
+
+
 @job("tfidf_topk")
 def tfidf_topk(e: Estate) -> DataFrame:
-    out = search.ranked_matches(passages(e), e.documents(), STOP_WORDS, 5, FLOOR)
+    out = passage_matches(e)
     return rounded(out, 6, "score")
 
 
 @job("best_sentence")
 def best_sentence(e: Estate) -> DataFrame:
-    matches = search.ranked_matches(passages(e), e.documents(), STOP_WORDS, 5, FLOOR)
-    out = search.best_sentences(matches, passages(e), e.documents(), STOP_WORDS)
+    matches = e.stage("passage_matches", lambda: passage_matches(e))
+    out = search.best_sentences(matches, passages(e), e.documents(), STOP_WORDS, word_counts(e))
     return out.select("query_id", "doc_id", "start", "end", F.sha2("quote", 256).alias("quote"))
 
 
