@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftwise.session import shared_folder
 
@@ -74,6 +75,17 @@ def stage_name(base: str, chain: Sequence[str]) -> str:
     return f"prepared_{base}_{hashlib.sha256('|'.join((base, *chain)).encode()).hexdigest()[:12]}"
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from the files once per application."""
+    held = (spark.sparkContext.applicationId, path)
+    if held not in _SCHEMAS:
+        _SCHEMAS[held] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[held]).parquet(path)
+
+
 def snapshot(spark: SparkSession, root: str) -> str:
     """A short digest of the source files' number, sizes and times.
 
@@ -100,7 +112,7 @@ def materialise(spark: SparkSession, build: Callable[[], DataFrame], base: str,
     except AnalysisException:
         build().write.mode("overwrite").parquet(f"{path}/rows")
         spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
-    return spark.read.parquet(f"{path}/rows")
+    return read_table(spark, f"{path}/rows")
 
 
 def entitled(frame: DataFrame, regions: Sequence[str] | None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from driftwise.config import ROUTES
 from driftwise.functions.columns import money, pick
-from driftwise.operators.lineage import materialise, snapshot
+from driftwise.operators.lineage import materialise, read_table, snapshot
 from driftwise.operators.metrics import bridge_facts
 from driftwise.session import prepare
 
@@ -92,18 +92,18 @@ class Estate:
         """One source table; a name outside the list is refused, not guessed."""
         if name not in READABLE:
             raise ValueError(f"{name!r} is not a readable table; expected one of {sorted(READABLE)}")
-        frame = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        frame = read_table(self.spark, f"{self.root}/{name}.parquet")
         return frame if limit is None else frame.limit(limit)
 
     def wide(self, name: str) -> DataFrame:
-        """A table for heavy work per row, spread where its files are too few.
+        """A table for heavy work per row, spread where its scan is too narrow.
 
-        One file is often one task however many cores there are. With at least
-        as many files as cores the scan is left alone and nothing is shuffled.
+        A small table is often one task however many cores there are. A scan
+        with at least as many splits as cores is left alone: nothing is shuffled.
         """
         frame = self.table(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+        return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
     # --- sales ------------------------------------------------------------
     def lines(self, dedupe: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
