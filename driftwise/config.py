@@ -138,36 +138,63 @@ RETAIL = _vertical(
     },
 )
 
+_DUTY = Driver("excise_duty", "plan_ops", "pricing_revision", "pricing_manager", -0.2)
+_REFINERY = Driver("refinery_availability", "voice_ops", "alternate_sourcing", "supply_manager")
+_PIPELINE = Driver("pipeline_integrity", "voice_ops", "mode_switch", "logistics_lead")
+_FLEET = Driver("carrier_capacity", "plan_ops", "fleet_augmentation", "logistics_lead")
+_CRUDE, _PORT = Driver("crude_benchmark", "plan_ops"), Driver("port_closure", "ext_signals")
+
+# The petroleum contracts.
 PETROLEUM = _vertical(
     {
-        "net": ("net_realisation", "finance_director", 5000000.0, 1.0, None),
+        "net": ("net_realisation", "finance_director", 5000000.0, 1.0, 0.05),
         "orders": ("consignments", "commercial_director", 5000000.0, 148075.0),
-        "order_value": ("avg_consignment_value", "pricing_manager", 5000000.0, 1.0,
+        "order_value": ("avg_consignment_value", "pricing_manager", 5000000.0, 646.0,
                         "net_realisation", "consignments"),
-        "conversion": ("gantry_throughput", "terminal_manager", 5000000.0, 1.0,
+        "conversion": ("gantry_throughput", "terminal_manager", 208333.0, 61451125.0,
                        "lifted", "scheduled"),
-        "on_time": ("supply_reliability", "supply_manager", 5000000.0, 1.0,
+        "on_time": ("supply_reliability", "supply_manager", 5000000.0, 32000000.0,
                     "on_time", "consignments"),
     },
     channels=("retail", "direct"),
     counting=("supply_reliability",),
-    drivers={},
+    drivers={
+        "net": (_DUTY, _REFINERY, _PIPELINE, _FLEET, _CRUDE, _PORT),
+        "orders": (_REFINERY, _FLEET, _PORT),
+        "order_value": (_DUTY, Driver("product_mix", "pos_txn", "allocation_mix", "supply_manager"),
+                        _CRUDE),
+        "conversion": (_FLEET, _REFINERY, _PORT),
+        "on_time": (_FLEET, _PIPELINE, _PORT),
+    },
 )
 
+_TARIFF = Driver("tariff_order", "plan_ops", "regulatory_filing", "regulatory_lead", -0.3)
+_FUEL = Driver("fuel_supply", "voice_ops", "fuel_sourcing", "fuel_manager")
+_PLANT = Driver("plant_availability", "voice_ops", "outage_rescheduling", "station_head")
+_GRID = Driver("grid_constraint", "plan_ops", "corridor_booking", "trading_head")
+_DEMAND, _WEATHER = Driver("demand_shift", "plan_ops"), Driver("weather_load", "ext_signals")
+
+# The power contracts.
 POWER = _vertical(
     {
-        "net": ("dispatch_realisation", "finance_director", 350000.0, 1.0, None),
+        "net": ("dispatch_realisation", "finance_director", 350000.0, 1.0, 0.22),
         "orders": ("scheduled_blocks", "trading_head", 350000.0, 6399.0),
-        "order_value": ("avg_realised_tariff", "regulatory_lead", 350000.0, 1.0,
+        "order_value": ("avg_realised_tariff", "regulatory_lead", 350000.0, 1060.0,
                         "dispatch_realisation", "blocks"),
-        "conversion": ("dispatch_fulfilment", "system_operator", 350000.0, 1.0,
+        "conversion": ("dispatch_fulfilment", "system_operator", 14583.0, 360265.0,
                        "delivered", "scheduled"),
-        "on_time": ("grid_availability", "system_operator", 350000.0, 1.0,
+        "on_time": ("grid_availability", "system_operator", 350000.0, 2260000.0,
                     "available", "declared"),
     },
     channels=("ppa", "exchange"),
     counting=("dispatch_fulfilment", "grid_availability"),
-    drivers={},
+    drivers={
+        "net": (_TARIFF, _FUEL, _PLANT, _GRID, _DEMAND, _WEATHER),
+        "orders": (_FUEL, _GRID, _WEATHER),
+        "order_value": (_TARIFF, Driver("fuel_mix", "pos_txn", "despatch_mix", "trading_head"), _DEMAND),
+        "conversion": (_PLANT, _FUEL, _WEATHER),
+        "on_time": (_FUEL, _GRID, _WEATHER),
+    },
 )
 
 UK_RETAIL = Kpi("uk_net_revenue", "net", "INR", "day", ("region",), "finance_director", (),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,21 @@ from pyspark.sql import functions as F
 from driftwise.config import RECOVERY_SHARE, Kpi
 from driftwise.functions.text import longest_term
 
-# Which driver a record's kind, or its wording, points to.
+@dataclass(frozen=True)
+class Playbook:
+    """What one industry's records point to, and what undoing a cause recovers."""
+
+    kind_to_driver: dict[str, str]
+    note_to_driver: tuple[tuple[str, tuple[str, ...]], ...]
+    recovery: dict[str, float]
+    external_kinds: tuple[str, ...]
+    reversal_driver: str
+    reversal_lever: str
+    reversal_kind: str = "release_log"
+
+
+# Which driver a record's kind, or its wording, points to, and the
+# share of a loss each lever recovers.
 KIND_TO_DRIVER = {"release_log": "release_quality", "promotion": "competitor_price_index"}
 NOTE_TO_DRIVER = (
     ("stock_position", ("stockout", "out of stock", "shortfall", "supplier", "inventory")),
@@ -18,14 +33,42 @@ NOTE_TO_DRIVER = (
     ("marketing_spend", ("marketing", "campaign", "spend", "media")),
     ("severe_weather", ("weather", "rainfall", "storm", "flood", "monsoon")),
 )
-EXTERNAL_KINDS = ("ops_note", "promotion")
-
-
-def driver_of(kind: Column, description: Column) -> Column:
+RETAIL_PLAYBOOK = Playbook(
+    KIND_TO_DRIVER, NOTE_TO_DRIVER, RECOVERY_SHARE, ("ops_note", "promotion"),
+    "release_quality", "release_rollback")
+PETROLEUM_PLAYBOOK = Playbook(
+    {"release_log": "refinery_availability", "turnaround": "refinery_availability"},
+    (
+        ("pipeline_integrity", ("pipeline", "pumping", "leak", "integrity", "sectionalis")),
+        ("refinery_availability", ("turnaround", "shutdown", "unit trip", "refinery", "maintenance")),
+        ("excise_duty", ("duty", "excise", "levy", "price revision", "rate revision")),
+        ("port_closure", ("cyclone", "storm", "berth", "port closed", "flood", "weather")),
+        ("carrier_capacity", ("tanker", "transporter", "haulage", "fleet", "carrier", "rake")),
+        ("crude_benchmark", ("crude", "benchmark", "brent", "parity")),
+    ),
+    {"alternate_sourcing": 0.45, "mode_switch": 0.60, "fleet_augmentation": 0.70,
+     "pricing_revision": 0.25, "allocation_mix": 0.40},
+    ("ops_note", "turnaround"), "refinery_availability", "alternate_sourcing")
+POWER_PLAYBOOK = Playbook(
+    {"release_log": "plant_availability", "outage": "plant_availability"},
+    (
+        ("fuel_supply", ("coal", "rake", "linkage", "fuel", "gas supply")),
+        ("grid_constraint", ("constraint", "backing down", "curtail", "evacuation", "line outage")),
+        ("tariff_order", ("tariff", "true-up", "regulatory order", "surcharge")),
+        ("plant_availability", ("trip", "boiler", "off bar", "forced outage", "overhaul")),
+        ("weather_load", ("monsoon", "cyclone", "heat wave", "wind speed", "irradiance", "weather")),
+        ("demand_shift", ("demand", "load curve", "peak deficit")),
+    ),
+    {"outage_rescheduling": 0.75, "fuel_sourcing": 0.55, "corridor_booking": 0.60,
+     "despatch_mix": 0.45, "regulatory_filing": 0.10},
+    ("ops_note", "outage"), "plant_availability", "outage_rescheduling")
+
+
+def driver_of(kind: Column, description: Column, playbook: Playbook = RETAIL_PLAYBOOK) -> Column:
     """The driver a cause belongs to: by kind, else an ops note's first wording."""
-    by_kind = [F.when(kind == k, F.lit(d)) for k, d in KIND_TO_DRIVER.items()]
+    by_kind = [F.when(kind == k, F.lit(d)) for k, d in playbook.kind_to_driver.items()]
     by_note = [F.when((kind == "ops_note") & longest_term(description, dict.fromkeys(words, d)).isNotNull(),
-                      F.lit(d)) for d, words in NOTE_TO_DRIVER]
+                      F.lit(d)) for d, words in playbook.note_to_driver]
     return F.coalesce(*by_kind, *by_note)
 
 
@@ -35,7 +78,7 @@ def lookup(column: Column, table: dict[str, str | float]) -> Column:
     return F.try_element_at(F.create_map(*pairs), column)
 
 
-def decision_cards(sized: DataFrame, kpi: Kpi) -> DataFrame:
+def decision_cards(sized: DataFrame, kpi: Kpi, playbook: Playbook = RETAIL_PLAYBOOK) -> DataFrame:
     """One card per verified cause: its lever, owner, loss and expected recovery.
 
     A lever with no declared share leaves recovery empty rather than guessed; a
@@ -44,7 +87,7 @@ def decision_cards(sized: DataFrame, kpi: Kpi) -> DataFrame:
     levers = {d.driver_id: d.lever for d in kpi.drivers if d.lever}
     owners = {d.driver_id: d.owner for d in kpi.drivers if d.owner}
     known = [d.driver_id for d in kpi.drivers]
-    driver = driver_of(F.col("kind"), F.col("description"))
+    driver = driver_of(F.col("kind"), F.col("description"), playbook)
     loss = F.abs("contribution")
     place = Window.partitionBy("finding_id").orderBy(F.desc("loss"), "doc_id")
     return (
@@ -53,7 +96,7 @@ def decision_cards(sized: DataFrame, kpi: Kpi) -> DataFrame:
         .withColumn("controllable", F.col("lever").isNotNull())
         .withColumn("owner", F.when(F.col("controllable"), lookup(F.col("driver"), owners)))
         .withColumn("loss", loss)
-        .withColumn("recovery", F.col("loss") * lookup(F.col("lever"), RECOVERY_SHARE))
+        .withColumn("recovery", F.col("loss") * lookup(F.col("lever"), playbook.recovery))
         .withColumn("scope", F.coalesce("channel", "device", "category", "sku",
                                         F.nullif(F.array_join("exposed", ", "), F.lit("")),
                                         F.lit("the affected slice")))
@@ -86,13 +129,12 @@ def price_grid(movements: DataFrame, deltas: Sequence[float], elasticity: float
 
 
 def projections(findings: DataFrame, sized: DataFrame, kpi: Kpi, horizon: int = 14,
-                reversal_kind: str = "release_log", reversal_lever: str = "release_rollback",
-                reversal_driver: str = "release_quality") -> DataFrame:
+                playbook: Playbook = RETAIL_PLAYBOOK) -> DataFrame:
     """Undoing the first shipped release, and outside pressure carried forward."""
-    can_undo = any(d.driver_id == reversal_driver for d in kpi.drivers)
-    share = RECOVERY_SHARE.get(reversal_lever)
-    undone = sized.filter((F.col("kind") == reversal_kind) & F.lit(can_undo))
-    outside = F.sum(F.when(F.col("kind").isin(*EXTERNAL_KINDS), F.abs("contribution")))
+    can_undo = any(d.driver_id == playbook.reversal_driver for d in kpi.drivers)
+    share = playbook.recovery.get(playbook.reversal_lever)
+    undone = sized.filter((F.col("kind") == playbook.reversal_kind) & F.lit(can_undo))
+    outside = F.sum(F.when(F.col("kind").isin(*playbook.external_kinds), F.abs("contribution")))
     first = undone.groupBy("finding_id").agg(
         F.min_by(F.abs("contribution"), F.struct("start", "doc_id")).alias("reversal_loss"))
     pressed = sized.groupBy("finding_id").agg(outside.alias("outside"))

@@ -137,6 +137,17 @@ def test_cards(spark):
     assert cards["d"].driver is None and cards["d"].action == "monitor only"
 
 
+def test_each_industry_reads_its_own_playbook(spark):
+    from driftwise.config import PETROLEUM, POWER
+    note = lambda text: spark.createDataFrame([cause("a", kind="ops_note", text=text)], CAUSE)
+    fuel = actions.decision_cards(note("tanker fleet short"), PETROLEUM["net_realisation"],
+                                  actions.PETROLEUM_PLAYBOOK).first()
+    assert (fuel.driver, fuel.owner, fuel.recovery) == ("carrier_capacity", "logistics_lead", 35.0)
+    grid = actions.decision_cards(note("line outage on the corridor"), POWER["dispatch_realisation"],
+                                  actions.POWER_PLAYBOOK).first()
+    assert (grid.lever, grid.recovery) == ("corridor_booking", 30.0)
+
+
 def test_a_price_cut_can_raise_revenue_and_lower_profit(spark):
     moved = spark.createDataFrame([("f", 100.0, 100.0, 0.0)],
                                   "finding_id string, base_revenue double, current_revenue double, total_change double")
