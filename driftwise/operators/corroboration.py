@@ -141,7 +141,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0
     )
 
 
-def readings(documents: DataFrame, scope_terms: dict[str, dict[str, str]]) -> DataFrame:
+def readings(documents: DataFrame, scope_terms: dict[str, dict[str, str]],
+             issue_terms: Sequence[tuple[str, tuple[str, ...]]] = words.ISSUE_TERMS) -> DataFrame:
     """What each document reports: issue, the sentence that says so, and scope."""
     text, place = F.col("text"), F.col("place")
     head = F.substr(text, F.lit(1), place - 1)
@@ -150,8 +151,8 @@ def readings(documents: DataFrame, scope_terms: dict[str, dict[str, str]]) -> Da
     stop = F.length(F.regexp_extract(rest, r"(?s)^(.*?[.!?])(?=\s)", 1))
     end = F.when(stop > 0, place - 1 + stop).otherwise(F.length(text))
     return (
-        documents.withColumn("lowered", F.lower(text)).withColumn("issue", words.issue_of(text))
-        .withColumn("place", words.issue_place(F.col("lowered"), F.col("issue")))
+        documents.withColumn("lowered", F.lower(text)).withColumn("issue", words.issue_of(text, issue_terms))
+        .withColumn("place", words.issue_place(F.col("lowered"), F.col("issue"), issue_terms))
         .withColumn("start", start).withColumn("end", end)
         .select("doc_id", "issue", "start", "end",
                 F.substr(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("quote"),
@@ -160,12 +161,13 @@ def readings(documents: DataFrame, scope_terms: dict[str, dict[str, str]]) -> Da
     )
 
 
-def expected_issues(issue: Column) -> Column:
+def expected_issues(issue: Column, related: dict[str, tuple[str, ...]] = words.RELATED_ISSUES,
+                    issue_terms: Sequence[tuple[str, tuple[str, ...]]] = words.ISSUE_TERMS) -> Column:
     """Issues that would support a note on this subject. An unrecognised subject
     expects every named issue, never the residual one."""
-    named = F.array(*[F.lit(i) for i, _ in words.ISSUE_TERMS])
-    chain = [F.when(issue == subject, F.array(*[F.lit(i) for i in related]))
-             for subject, related in words.RELATED_ISSUES.items() if related]
+    named = F.array(*[F.lit(i) for i, _ in issue_terms])
+    chain = [F.when(issue == subject, F.array(*[F.lit(i) for i in near]))
+             for subject, near in related.items() if near]
     return F.coalesce(*chain, named)
 
 

@@ -79,6 +79,20 @@ def test_first_issue_in_vocabulary_order_with_its_sentence(spark):
     assert (got["b"].issue, got["b"].quote, got["b"].confidence) == ("other", "Nothing of note.", 0.3)
 
 
+@pytest.mark.parametrize("name,text,issue,scope", [
+    ("PETROLEUM", "Consumer pump dry out, diesel rake delayed.", "supply_delay", ("direct", "rail", "motor_fuels")),
+    ("POWER", "Boiler trip, must-run solar curtailed.", "dispatch_failure", (None, "must_run", "coal")),
+    ("RETAIL", "The desktop site says sold out.", "stockout", ("web", "desktop", None))])
+def test_each_industry_has_its_own_words(spark, name, text, issue, scope):
+    from driftwise.functions import vocabularies
+    vocabulary = getattr(vocabularies, name)
+    docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    row = search.readings(docs, vocabulary.scope_terms, vocabulary.issue_terms).first()
+    assert row.issue == issue and (row.channel, row.device, row.category) == scope
+    near = docs.select(search.expected_issues(F.lit(issue), vocabulary.related, vocabulary.issue_terms)).first()[0]
+    assert issue in near and "other" not in near
+
+
 def test_identifiers(spark):
     got = values(spark, ["release 4.12: card form", "INC-7, region: down", "no colon here", ": odd"],
                  lambda t: words.identifier(t, F.lit("9")))
