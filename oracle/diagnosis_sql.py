@@ -125,7 +125,7 @@ VIEWS = {
         FROM (SELECT x.*, CASE WHEN total_change = 0 THEN 0 ELSE least(abs(explained / total_change), 1) END
                           AS raw_share,
                      least(coalesce(s.times, 0) / 3.0, 1.0) AS causal_strength,
-                     least(coalesce(p.supporting, 0) / 3.0, 1.0) AS corroboration, 1.0 AS freshness, contested
+                     least(coalesce(p.supporting, 0) / 3.0, 1.0) AS corroboration, 1.0::DOUBLE AS freshness, contested
               FROM v_explained x
               LEFT JOIN (SELECT finding_id, max(abs(effect) / nullif(abs(placebo_max), 0)) AS times
                          FROM v_sized WHERE effect <> 0 GROUP BY finding_id) s USING (finding_id)

@@ -235,7 +235,7 @@ ANSWERS = {
         FROM (SELECT ts AS ts, sum(converted) / nullif(sum(sessions), 0) AS value, sum(sessions) AS n
               FROM ({conversion_sql(CONV, 'retail')}) GROUP BY ts) q""",
     "invoice_status": """SELECT CASE WHEN o_orderstatus = 'F' THEN 'cancelled' ELSE 'complete' END AS status,
-        count(*) AS invoices, 0.0 AS discount FROM orders GROUP BY 1""",
+        count(*) AS invoices, 0.0::DOUBLE AS discount FROM orders GROUP BY 1""",
     "replicated_facts": """SELECT region || '-r' || k AS region, count(DISTINCT order_id) AS orders,
         round(CAST(sum(net) AS DOUBLE), 4) AS value
         FROM v_order_totals, generate_series(0, 3) g(k) GROUP BY 1""",

@@ -203,7 +203,7 @@ ANSWERS = {
           FROM scored WHERE score >= 0) WHERE rank <= 10""",
     "complaint_query": f"SELECT doc_id, {complaint('text')} AS query FROM v_notes",
     "rule_extract": f"""SELECT doc_id, issue, start, finish AS "end", substr(text, start + 1, finish - start) AS quote,
-        CASE WHEN issue = 'other' THEN 0.3 ELSE 0.7 END AS confidence,
+        CASE WHEN issue = 'other' THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS confidence,
         {', '.join(f"{longest('text', t)} AS {d}" for d, t in SALES_SCOPE.items())} FROM v_readings""",
     "issue_counts": """SELECT issue, count(*) AS tickets FROM v_readings WHERE doc_type = 'support_ticket'
         GROUP BY issue""",
