@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import decontaminate, lines, packing, simhash, wavelet
+from driftwise.llm import automata, decontaminate, lines, packing, run_index, simhash, wavelet
 from driftwise.llm.common import table, text_column
 
 
@@ -22,10 +22,20 @@ def op2_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_groups(table(spark, root, "documents"), width=3)
 
 
+def op4_run_index(spark: SparkSession, root: str) -> DataFrame:
+    return run_index.dedup_bytes(table(spark, root, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def op7_automata(spark: SparkSession, root: str) -> DataFrame:
+    return automata.dedup_words(table(spark, root, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.report(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -37,7 +47,9 @@ def op10_wavelet(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op4_run_index": op4_run_index,
     "op5_packing": op5_packing,
+    "op7_automata": op7_automata,
     "op9_decontaminate": op9_decontaminate,
     "op10_wavelet": op10_wavelet,
 }
