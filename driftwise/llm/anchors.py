@@ -8,8 +8,9 @@ a window. Per context there is one short packed record (anchor hash, content has
 place); those are shuffled by anchor, after equal contexts of a batch were merged.
 
 Contexts of equal content are settled by the hashes. Where one anchor has different
-contexts, their text is fetched and an index, given by the operator, decides for every
-window. An anchor with very many different contexts is split: there each window is
+contexts, a shared window must hold either a fixed stretch before the anchor or one
+after it, so only contexts that agree on one of the two can share a window. Their text
+is fetched and an index, given by the operator, decides for every window. An anchor with very many different contexts is split: there each window is
 grouped by its own hash.
 
 Two questions can be asked: does the window start in a document with a smaller id
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,10 @@ CHUNK = 1 << 20
 PLACE_BITS = 24
 #: Different contexts of one anchor beyond which each window is grouped by its own hash.
 CROWD = 2000
+#: Characters of text whose records a task holds at once.
+BATCH = 1 << 23
+#: Units held by one index.
+INDEXED = 1 << 19
 SALT = 7
 
 
@@ -56,6 +62,11 @@ class Rule:
     #: From stretches and their owners to (earliest owner, occurrences) per window.
     decide: Callable[[list, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
+    @property
+    def half(self) -> int:
+        """Windows that begin so many units before their anchor, or more, share a stretch before it."""
+        return (self.window - self.gram + 1) // 2
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,10 +91,15 @@ class Powers:
 
 
 def contexts(units: np.ndarray, lengths: np.ndarray, rule: Rule, powers: Powers):
-    """(piece, first window, windows, anchor hash, content hash) of joined pieces, as arrays."""
+    """(piece, first window, windows, anchor's place, anchor hash, content hash) of joined pieces, as arrays.
+
+    The low 48 bits of the content hash are 16 each of the whole context, the stretch
+    that windows beginning well before the anchor share, and the one that the others
+    share; a stretch is zero if the context has no such window.
+    """
     window, gram = rule.window, rule.gram
     n = len(units)
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     if n < window:
         return none
     powers.reach(n)
@@ -112,7 +128,18 @@ def contexts(units: np.ndarray, lengths: np.ndarray, rule: Rule, powers: Powers)
     begin, anchor, piece = start[first], anchor[first], piece[first]
     end = begin + many + window - 1
     content = mix((sums[end] - sums[begin]) * powers.down[begin] + (anchor - begin).astype(np.uint64))
-    return piece, begin - begins[piece], many, hashes[anchor], content
+    half = rule.half
+    before, after = (anchor - begin >= half) & (half > 0), anchor - begin - many + 1 < half
+
+    def stretch(there: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        low, high = np.where(there, low, 0), np.where(there, high, 0)
+        part = mix((sums[high] - sums[low]) * powers.down[low]) >> np.uint64(48)
+        return np.where(there, np.maximum(part, np.uint64(1)), np.uint64(0))
+
+    left = stretch(before, anchor - half, anchor + gram)
+    right = stretch(after, anchor, anchor + window - half + 1)
+    content = (content >> np.uint64(48)) << np.uint64(32) | left << np.uint64(16) | right
+    return piece, begin - begins[piece], many, anchor - begin, hashes[anchor], content
 
 
 def pieces_of(units: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,15 +152,15 @@ def pieces_of(units: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def _joined(batch: pa.RecordBatch, rule: Rule, powers: Powers):
-    """Contexts of a batch: (row, first window, windows, anchor, content)."""
+    """Contexts of a batch: (row, first window, windows, anchor's place, anchor, content)."""
     found, held, sizes, where, total = [], [], [], [], 0
 
     def flush():
         nonlocal held, sizes, where, total
         if held:
-            piece, at, many, h, c = contexts(np.concatenate(held), np.array(sizes), rule, powers)
+            piece, at, many, off, h, c = contexts(np.concatenate(held), np.array(sizes), rule, powers)
             rows, skips = np.array([w[0] for w in where]), np.array([w[1] for w in where])
-            found.append((rows[piece], at + skips[piece], many, h, c))
+            found.append((rows[piece], at + skips[piece], many, off, h, c))
         held, sizes, where, total = [], [], [], 0
 
     for row, text in enumerate(batch.column("text")):
@@ -160,9 +187,9 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-RECORD = "bucket int, kind int, id binary, hash binary, at binary, many binary, h binary, c binary, copies binary"
-NAMES = ("id", "hash", "at", "many", "h", "c", "copies")
-KINDS = ("<i8", "<i8", "<u4", "u1", "V6", "<u4", "u1")
+RECORD = "bucket int, kind int, id binary, hash binary, at binary, many binary, off binary, h binary, c binary, copies binary"
+NAMES = ("id", "hash", "at", "many", "off", "h", "c", "copies")
+KINDS = ("<i8", "<i8", "<u4", "u1", "u1", "V6", "V6", "u1")
 
 
 def _packed(bucket: int, kind: int, columns: list[np.ndarray]) -> dict:
@@ -188,21 +215,32 @@ def _unpacked(row: dict) -> list[np.ndarray]:
 SETTLED, OPEN = 0, 1
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most BATCH bytes of text, or of one text."""
+    for batch in batches:
+        sizes = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(sizes) // BATCH
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high > low:
+                yield batch.slice(low, high - low)
+
+
 def _records(rule: Rule, buckets: int):
     """Map side: equal contexts of a batch are merged; what that settles is kept aside."""
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in NAMES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in _small(batches):
             made = _joined(batch, rule, powers)
             if made is None:
                 continue
-            row, at, many, h, c = made
+            row, at, many, off, h, c = made
             ids = batch.column(ID).to_numpy(zero_copy_only=False)
             hashes = batch.column(HASH).to_numpy(zero_copy_only=False)
             order = np.lexsort((ids[row], c, h))
-            row, at, many, h, c = (x[order] for x in (row, at, many, h, c))
+            row, at, many, off, h, c = (x[order] for x in made)
             first = _groups(h, c)
             sizes = np.diff(np.append(first, len(h)))
             if rule.earlier:
@@ -214,7 +252,6 @@ def _records(rule: Rule, buckets: int):
                 sent[first] = True
                 copies = np.repeat(np.minimum(sizes, 2), sizes)
             bucket = (mix(h) >> np.uint64(32)).astype(np.int64) % buckets
-            c = c & np.uint64(0xFFFFFFFF)
             rows = []
             for kind, mask, to in ((OPEN, sent, bucket), (SETTLED, settled, np.full(len(h), batch.num_rows % buckets))):
                 chosen = np.flatnonzero(mask)
@@ -222,22 +259,34 @@ def _records(rule: Rule, buckets: int):
                 for part in np.split(chosen, np.flatnonzero(np.diff(to[chosen])) + 1):
                     if len(part):
                         rows.append(_packed(int(to[part[0]]), kind, [
-                            ids[row[part]], hashes[row[part]], at[part], many[part], h[part], c[part], copies[part]]))
+                            ids[row[part]], hashes[row[part]], at[part], many[part], off[part], h[part], c[part], copies[part]]))
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
-SPANS = "kind int, id long, hash long, at long, many long, h long"
+def _meeting(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which of the different contexts agree with another one of their anchor on a stretch."""
+    meets = np.zeros(len(h), bool)
+    for shift in (0, 16):
+        side = (c >> np.uint64(shift)) & np.uint64(0xFFFF)
+        order = np.lexsort((side, h))
+        group = _groups(h[order], side[order])
+        sizes = np.diff(np.append(group, len(h)))
+        meets[order] |= np.repeat(sizes > 1, sizes) & (side[order] > 0)
+    return meets
+
+
+SPANS = "kind int, id long, hash long, at long, many long, off long, h long"
 
 
 def _settle(rule: Rule):
     """Reduce side: one bucket holds every record of its anchors."""
-    schema = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in ("id", "hash", "at", "many", "h")]])
+    schema = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in ("id", "hash", "at", "many", "off", "h")]])
 
-    def table(kind: int, ids, hashes, at, many, h) -> pa.RecordBatch:
+    def table(kind: int, *columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(ids), kind, np.int32)), *[pa.array(np.asarray(x).astype(np.int64)) for x in (ids, hashes, at, many, h)]],
+            pa.array(np.full(len(columns[0]), kind, np.int32)), *[pa.array(x.astype(np.int64)) for x in columns]],
             schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,14 +295,15 @@ def _settle(rule: Rule):
             for row in batch.to_pylist():
                 columns = _unpacked(row)
                 if row["kind"] == SETTLED:
-                    yield table(SETTLED, *columns[:4], np.zeros(len(columns[0])))
+                    yield table(SETTLED, *columns[:6])
                 else:
                     held.append(columns)
         if not held:
             return
-        ids, hashes, at, many, h, c, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = None
+        ids, hashes, at, many, off, h, c, copies = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((at, ids, c, h))
-        ids, hashes, at, many, h, c, copies = (x[order] for x in (ids, hashes, at, many, h, c, copies))
+        ids, hashes, at, many, off, h, c, copies = (x[order] for x in (ids, hashes, at, many, off, h, c, copies))
         first = _groups(h, c)
         sizes = np.diff(np.append(first, len(h)))
         if rule.earlier:
@@ -264,32 +314,76 @@ def _settle(rule: Rule):
             settled = several & (copies == 1)
             asked = ~several
             asked[first] = True
-        yield table(SETTLED, *(x[settled] for x in (ids, hashes, at, many, h)))
-        anchor = _groups(h)
-        contents = np.add.reduceat(np.isin(np.arange(len(h)), first, assume_unique=True).astype(np.int64), anchor)
-        asked &= np.repeat(contents > 1, np.diff(np.append(anchor, len(h))))
-        yield table(OPEN, *(x[asked] for x in (ids, hashes, at, many, h)))
+        yield table(SETTLED, *(x[settled] for x in (ids, hashes, at, many, off, h)))
+        asked &= np.repeat(_meeting(h[first], c[first]), sizes)
+        yield table(OPEN, *(x[asked] for x in (ids, hashes, at, many, off, h)))
 
     return run
 
 
+class Parts:
+    """Contexts of whole anchors, parted at the stretches that their windows must share.
+
+    Equal parts are merged; a part alone at its stretch can only match itself, and the
+    others go to the index.
+    """
+
+    def __init__(self, rule: Rule):
+        self.rule, self.held, self.rows = rule, 0, []
+        self.stretches: dict = {}
+
+    def add(self, h: int, owner: int, mark: int, at: int, off: int, units) -> None:
+        rule = self.rule
+        many = len(units) - rule.window + 1
+        cut = min(max(off - rule.half + 1, 0), many)
+        for side, begin, end, low, high in (
+                (0, 0, cut, off - rule.half, off + rule.gram),
+                (1, cut, many, off, off + rule.window - rule.half + 1)):
+            if begin == end:
+                continue
+            contents = self.stretches.setdefault((h, side, units[low:high]), {})
+            part = units[begin:end + rule.window - 1]
+            fact = contents.setdefault(part, [owner, 0])
+            fact[0], fact[1] = min(fact[0], owner), fact[1] + 1
+            self.held += len(part) if fact[1] == 1 else 0
+            self.rows.append((contents, part, owner, mark, at + begin))
+
+    def spans(self) -> Iterator[tuple[int, int, int, int]]:
+        """(owner, mark, at, windows) of what is found earlier, or elsewhere."""
+        rule = self.rule
+        asked = [(contents, part) for contents in self.stretches.values() if len(contents) > 1 for part in contents]
+        found = rule.decide([p for _, p in asked], np.array([c[p][0] for c, p in asked], np.int64)) if asked else []
+        for (contents, part), told in zip(asked, found, strict=True):
+            contents[part].append(told)
+        for contents, part, owner, mark, at in self.rows:
+            first, copies, *told = contents[part]
+            if first < owner if rule.earlier else copies > 1:
+                yield owner, mark, at, len(part) - rule.window + 1
+            elif told:
+                hit = np.flatnonzero(told[0][0] < owner if rule.earlier else told[0][1] > 1)
+                for one in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else ():
+                    yield owner, mark, at + int(one[0]), len(one)
+
+
 def _decided(rule: Rule):
-    """Windows of the contexts of one shard that the index finds earlier or elsewhere."""
+    """Windows of the contexts of one shard that the index finds earlier or elsewhere; rows come sorted by anchor."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*[batch.column(n).to_pylist() for n in ("id", "hash", "at", "part")], strict=True)]
-        if not rows:
-            return
-        rows.sort(key=lambda r: r[:3])
-        owners = np.array([r[0] for r in rows], np.int64)
-        out = []
-        for (owner, mark, at, _), (earliest, times) in zip(rows, rule.decide([r[3] for r in rows], owners), strict=True):
-            hit = np.flatnonzero(earliest < owner if rule.earlier else times > 1)
-            for run_ in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else ():
-                out.append((owner, mark, at + int(run_[0]), len(run_)))
-        yield pa.RecordBatch.from_arrays(
+    def told(parts: Parts) -> pa.RecordBatch:
+        out = list(parts.spans())
+        return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["id", "hash", "at", "many"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, last = Parts(rule), None
+        for batch in batches:
+            for h, *row, units in zip(*[batch.column(n).to_pylist() for n in ("h", "id", "hash", "at", "off", "part")], strict=True):
+                if parts.held > INDEXED and h != last:
+                    yield told(parts)
+                    parts = Parts(rule)
+                last = h
+                parts.add(h, *row, tuple(units) if isinstance(units, list) else units)
+        yield told(parts)
+
     return run
 
 
@@ -306,11 +400,11 @@ def repeated_windows(docs: DataFrame, rule: Rule) -> DataFrame:
     parts = saved(
         asked.join(crowds.select("h", "crowded"), "h")
         .join(keys, (F.col("id") == F.col(ID)) & (F.col("hash") == F.col(HASH)))
-        .select("crowded", "h", "id", "hash", "at", "many",
+        .select("crowded", "h", "id", "hash", "at", "many", "off",
                 rule.stretch(F.col("text"), F.col("at"), F.col("many") + (rule.window - 1)).alias("part"))
         .distinct(), "parts")
-    indexed = parts.filter("not crowded").repartition(buckets, "h").select("id", "hash", "at", "part").mapInArrow(
-        _decided(rule), "id long, hash long, at long, many long")
+    indexed = parts.filter("not crowded").repartition(buckets, "h").sortWithinPartitions("h").select(
+        "h", "id", "hash", "at", "off", "part").mapInArrow(_decided(rule), "id long, hash long, at long, many long")
     single = parts.filter("crowded").select(
         "id", "hash", "at", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("j")).select(
         "id", "hash", (F.col("at") + F.col("j")).alias("at"), rule.at(F.col("part"), F.col("j")).alias("w")).select(

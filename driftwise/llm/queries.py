@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import automata, decontaminate, lines, packing, run_index, simhash, wavelet
+from driftwise.llm import automata, decontaminate, lines, merkle, packing, perplexity, run_index, secrets, simhash, wavelet
 from driftwise.llm.common import table, text_column
 
 
@@ -22,6 +22,10 @@ def op2_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_groups(table(spark, root, "documents"), width=3)
 
 
+def op3_merkle(spark: SparkSession, root: str) -> DataFrame:
+    return merkle.compared(table(spark, root, "documents"))
+
+
 def op4_run_index(spark: SparkSession, root: str) -> DataFrame:
     return run_index.dedup_bytes(table(spark, root, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -31,11 +35,23 @@ def op5_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def op6_secrets(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.scan(table(spark, root, "documents"))
+
+
 def op7_automata(spark: SparkSession, root: str) -> DataFrame:
     return automata.dedup_words(table(spark, root, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_perplexity(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang")
+    return perplexity.judged(docs, table(spark, root, "labels")).select(
+        "doc_id", "lang", F.col("__dw_bits").alias("bits_per_byte"),
+        F.round(F.pow(2.0, "__dw_bits"), 6).alias("perplexity"), F.col("__dw_threshold").alias("threshold"),
+        F.col("__dw_accepted").alias("accepted"))
+
+
 def op9_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.report(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -47,9 +63,12 @@ def op10_wavelet(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op3_merkle": op3_merkle,
     "op4_run_index": op4_run_index,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_automata": op7_automata,
+    "op8_perplexity": op8_perplexity,
     "op9_decontaminate": op9_decontaminate,
     "op10_wavelet": op10_wavelet,
 }

@@ -179,8 +179,7 @@ class RunIndex:
 
 def _decide(window: int):
     def run(parts: list, owners: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        texts = [bytes(p) for p in parts]
-        return RunIndex(texts, owners, window).windows(texts)
+        return RunIndex(parts, owners, window).windows(parts)
 
     return run
 

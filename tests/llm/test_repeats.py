@@ -98,7 +98,7 @@ def test_run_index_matching_statistics(seed):
 def test_run_index_is_small_for_repetitive_texts():
     r = random.Random(1)
     text = bytes(r.choice(b"abcdefgh") for _ in range(400))
-    index = run_index.RunIndex([text + b"!%d" % i for i in range(40)], np.arange(40), 50)
+    index = run_index.RunIndex([text + b"!%d" % i for i in range(40)], np.arange(40), 10)
     assert len(index.start) < len(index.text) / 8
 
 
