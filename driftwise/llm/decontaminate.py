@@ -64,7 +64,12 @@ def _hits(worded: DataFrame, sought: DataFrame, size: int, broadcast: bool) -> D
     else:
         met = placed.select(ID, HASH, "at", "h").join(sought.select("h").distinct(), "h", "left_semi")
         found = met.distinct().join(worded.dropDuplicates([ID, HASH]), [ID, HASH]).join(sought, "h")
-    same = _lowered(F.slice("words", F.col("at") + 1, size)) == F.col("window")
+    # Only functions that Spark compiles: a lambda here would keep the join out of the
+    # compiled stage and copy a text's words for each of its positions. Equality is put
+    # as two inequalities, since an equality would be computed as a key at each position.
+    here = F.translate(F.array_join(F.slice("words", F.col("at") + 1, size), " "), string.ascii_uppercase, string.ascii_lowercase)
+    there = F.array_join("window", " ")
+    same = here.startswith(there) & (F.length(here) <= F.length(there))
     return found.filter(same).select(ID, HASH, "at", "n", "item")
 
 

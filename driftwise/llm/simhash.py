@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from driftwise.llm.common import saved, texts
+from driftwise.llm.common import HASH, ID, keyed, saved, text_column, texts
 from driftwise.llm.components import components
 
 SEED = 42
@@ -132,3 +132,75 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
         "fp", F.coalesce("root", "id").alias("component_id"))
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of a table's key that are compared pair by pair; above, neighbours are.
+CROWD = 128
+#: Orders in which a larger group is sorted, each a rotation of the fingerprint's bits.
+ROTATIONS = (0, 9, 18, 27, 36, 45, 54)
+
+
+def jaccard(width: int):
+    """A column function from two texts to the likeness of their sets of shingles."""
+
+    @pandas_udf("double")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a: str, b: str) -> float:
+            x, y = (np.unique(shingle_hashes(t, width)) for t in (a, b))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+    return of
+
+
+def _near_pairs(keys: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the ids (fp, id, t, key) that collide and lie within the radius.
+
+    Small groups are compared whole. In a group of many, each member is tried with its
+    neighbours in several sorted orders and with the group's smallest id, so its cost
+    follows its size; the hundred other tables give a member other neighbours.
+    """
+    member = F.struct("fp", "id")
+    sized = keys.join(shared_keys(keys), ["t", "key"])
+    groups = sized.filter(F.col("members") <= CROWD).groupBy("t", "key").agg(F.collect_list(member).alias("m"))
+    small = groups.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(
+        F.filter("m", lambda y: (y["id"] > x["id"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)),
+        lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p")).select("p.*")
+    many = sized.filter(F.col("members") > CROWD)
+    turned = many.withColumn("turn", F.explode(F.array(*[F.lit(r) for r in ROTATIONS]))).withColumn(
+        "order", F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)"))
+    following = turned.withColumn(
+        "next", F.expr("lead(struct(fp, id)) over (partition by t, key, turn order by order, id)"))
+    first = many.groupBy("t", "key").agg(F.min(F.struct("id", "fp")).alias("first"))
+    tries = following.filter("next is not null").select("fp", "id", F.col("next.fp").alias("fp2"), F.col("next.id").alias("id2")).unionByName(
+        many.join(first, ["t", "key"]).select("fp", "id", F.col("first.fp").alias("fp2"), F.col("first.id").alias("id2")))
+    large = tries.filter((F.col("id") != F.col("id2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)).select(
+        F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    return small.unionByName(large).distinct()
+
+
+def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies, with its columns.
+
+    Equal texts are merged first. Fingerprints of the distinct words of each text are
+    brought together by a covering of the radius; the pairs within it are links if their
+    sets of ``width``-word shingles are alike enough, and groups are the links' components.
+    Words serve for finding since a changed word costs one of them but ``width`` shingles.
+    """
+    own = keyed(docs).select(ID, HASH, text_column(docs).alias("text"))
+    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp")), "prints")
+    distinct = prints.groupBy(HASH).agg(F.min(ID).alias("id"), F.min("fp").alias("fp"))
+    pairs = saved(_near_pairs(table_keys(distinct.select("fp", "id"), radius, "id"), radius), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct, "id").select(
+        F.col("id").alias(ID), HASH)
+    fetched = saved(own.join(wanted, [ID, HASH]).groupBy(ID).agg(F.max("text").alias("text")), "texts")
+    left = fetched.select(F.col(ID).alias("a"), F.col("text").alias("left"))
+    right = fetched.select(F.col(ID).alias("b"), F.col("text").alias("right"))
+    alike = pairs.join(left, "a").join(right, "b").withColumn("alike", jaccard(width)("left", "right"))
+    roots = components(alike.filter(F.col("alike") >= similarity).select("a", "b"))
+    kept = prints.join(distinct.select(HASH, "id"), HASH).join(roots, F.col("id") == F.col("node"), "left").filter(
+        F.col(ID) == F.coalesce("root", "id")).select(ID, HASH).distinct()
+    first = keyed(docs).join(kept, [ID, HASH], "left_semi")
+    return first.dropDuplicates([ID, HASH]).select(*[F.col(f"`{c}`") for c in docs.columns])
