@@ -32,7 +32,7 @@ END = 0
 #: A shard is closed when it holds this many tokens.
 SHARD_TOKENS = 1 << 20
 #: Entries of a worker's memory of encoded pieces, and the longest piece it keeps.
-MEMORY, PIECE = 1 << 18, 64
+MEMORY, PIECE = 1 << 17, 64
 
 
 class WaveletMatrix:
@@ -170,7 +170,7 @@ class Encoder:
         self.library, self.memory = Tokenizer.from_file(path), {}
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
