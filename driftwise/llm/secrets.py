@@ -35,6 +35,8 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Log-likelihood ratio, in nats, from which a token counts as random.
 THRESHOLD = 12.0
+#: Steps that the smoothing counts for, per character before them.
+PRIOR = 20.0
 STATES = 128
 TOKEN_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -89,15 +91,19 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
 
 def ratio_table(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log P_random - log P_ordinary of every step between states; one count is added per token character."""
-    known = np.zeros(STATES, bool)
-    known[[ord(c) for c in TOKEN_CHARACTERS]] = True
+    """log P_random - log P_ordinary of every step between states.
 
-    def logs(counts: np.ndarray) -> np.ndarray:
-        smooth = counts.reshape(STATES, STATES) + np.where(known[None, :], 1.0, 1e-3)
-        return np.log(smooth / smooth.sum(1, keepdims=True))
+    Steps are smoothed towards how often a character comes at all: in ordinary text as
+    counted, in random strings alike for all token characters.
+    """
+    even = np.full(STATES, 1e-3)
+    even[[ord(c) for c in TOKEN_CHARACTERS]] = 1.0
 
-    return (logs(random) - logs(ordinary)).reshape(-1)
+    def logs(counts: np.ndarray, single: np.ndarray) -> np.ndarray:
+        table = counts.reshape(STATES, STATES) + PRIOR * single / single.sum()
+        return np.log(table / table.sum(1, keepdims=True))
+
+    return (logs(random, even) - logs(ordinary, ordinary.reshape(STATES, STATES).sum(0) + 0.5)).reshape(-1)
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], ratio: np.ndarray, threshold: float = THRESHOLD):
