@@ -21,7 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one is made only where it is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="driftwise-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)

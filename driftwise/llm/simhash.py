@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -134,10 +134,12 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a table's key that are compared pair by pair; above, neighbours are.
+#: Fingerprints of a table's key that are all compared; above, neighbours in sorted orders are.
 CROWD = 128
 #: Orders in which a larger group is sorted, each a rotation of the fingerprint's bits.
-ROTATIONS = (0, 9, 18, 27, 36, 45, 54)
+ROTATIONS = (0, 21, 42)
+#: Links that a text may offer in one table's group, to the nearest texts of smaller id.
+NEAREST = 2
 
 
 def jaccard(width: int):
@@ -158,16 +160,21 @@ def jaccard(width: int):
 def _near_pairs(keys: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b), a < b, of the ids (fp, id, t, key) that collide and lie within the radius.
 
-    Small groups are compared whole. In a group of many, each member is tried with its
-    neighbours in several sorted orders and with the group's smallest id, so its cost
-    follows its size; the hundred other tables give a member other neighbours.
+    In a small group each member is compared with all others and tried with the nearest
+    of smaller id. In a group of many, it is tried with its neighbours in several sorted
+    orders and with the group's smallest id. So a group's pairs follow its size, never
+    the square; each of the hundred other tables offers a member other neighbours.
     """
-    member = F.struct("fp", "id")
-    sized = keys.join(shared_keys(keys), ["t", "key"])
-    groups = sized.filter(F.col("members") <= CROWD).groupBy("t", "key").agg(F.collect_list(member).alias("m"))
-    small = groups.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(
-        F.filter("m", lambda y: (y["id"] > x["id"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)),
-        lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p")).select("p.*")
+    sized = keys.withColumn("members", F.count("*").over(Window.partitionBy("t", "key"))).filter("members > 1")
+    groups = sized.filter(F.col("members") <= CROWD).groupBy("t", "key").agg(
+        F.collect_list(F.struct("fp", "id")).alias("m"))
+
+    def nearest(x: Column) -> Column:
+        near = F.transform("m", lambda y: F.struct(
+            F.bit_count(x["fp"].bitwiseXOR(y["fp"])).alias("bits"), y["id"].alias("a"), x["id"].alias("b")))
+        return F.slice(F.array_sort(F.filter(near, lambda p: (p["a"] < p["b"]) & (p["bits"] <= radius))), 1, NEAREST)
+
+    small = groups.select(F.explode(F.flatten(F.transform("m", nearest))).alias("p")).select("p.a", "p.b")
     many = sized.filter(F.col("members") > CROWD)
     turned = many.withColumn("turn", F.explode(F.array(*[F.lit(r) for r in ROTATIONS]))).withColumn(
         "order", F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)"))
