@@ -47,12 +47,17 @@ _OWN_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint setting.
 
-    Only where the session names none, as in tests on one machine, is one made,
-    once per application, and given to the context for checkpoints too.
+    Only where the session names none and everything runs on one machine, as in
+    tests, is one made, once per application, and given to the context for
+    checkpoints too. On a cluster a folder of one machine would lose rows, so there
+    a session without the setting is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="driftwise-")
