@@ -137,7 +137,6 @@ LOCATION_PATTERNS: tuple[tuple[str, str, str], ...] = (
 DOMAINS = {"pii": PERSONAL_PATTERNS, "location": LOCATION_PATTERNS}
 
 FENCE, FENCE_END = "<<<DOCUMENT>>>", "<<<END DOCUMENT>>>"
-MAX_QUARANTINED = 4000
 
 
 def longest_term(text: Column, terms: Mapping[str, str]) -> Column:
@@ -260,14 +259,14 @@ def redacted(frame: DataFrame, domains: Sequence[str], text: str = "text") -> Da
     return frame.withColumn("masked", masked).drop(*[name for name, _ in told])
 
 
-def quarantined(text: Column, domains: Sequence[str] = (), limit: int = MAX_QUARANTINED) -> Column:
-    """Text made safe to quote: redacted, fences and control marks neutralised,
-    and cut with a marker. Flags must be read from the original, not from this."""
+def quarantined(text: Column, domains: Sequence[str] = ()) -> Column:
+    """The whole text made safe to quote: redacted, fences and control marks neutralised.
+
+    Flags must be read from the original, not from this.
+    """
     safe = redact(text, domains)
     safe = F.replace(F.replace(safe, F.lit(FENCE), F.lit("[fence]")), F.lit(FENCE_END), F.lit("[fence]"))
-    safe = F.regexp_replace(safe, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-    return F.when(F.length(safe) > limit, F.concat(F.substring(safe, 1, limit), F.lit(" [truncated]"))) \
-        .otherwise(safe)
+    return F.regexp_replace(safe, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
 
 
 def bare(piece: Column) -> Column:

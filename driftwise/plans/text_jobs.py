@@ -149,12 +149,12 @@ def quarantine(e: Estate) -> DataFrame:
         .withColumn("safe", words.quarantined(F.col("text"), ("pii",)))
     return safe.select(
         "doc_id", F.array_join("flags", ",").alias("flags"), F.length("safe").alias("length"),
-        F.endswith("safe", F.lit(" [truncated]")).alias("cut"), F.sha2("safe", 256).alias("text"))
+        F.sha2("safe", 256).alias("text"))
 
 
 @job("citation_spans")
 def citation_spans(e: Estate) -> DataFrame:
-    quotes = e.table("benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
+    quotes = e.table("benchmark").select("item_id", F.col("text").alias("quote"))
     return search.citations(quotes, e.documents())
 
 

@@ -294,7 +294,8 @@ VIEWS = {
                  sum(coalesce(recovery, 0.0)) FILTER (controllable) AS recoverable
           FROM v_seen GROUP BY finding_id) USING (finding_id)
         LEFT JOIN (SELECT finding_id, count(*) AS ruled_out FROM v_verdicts WHERE state <> 'verified'
-                   GROUP BY finding_id) USING (finding_id)""",
+                   GROUP BY finding_id) USING (finding_id)
+        WHERE d.finding_id IN (SELECT finding_id FROM v_cases WHERE region IN ('ASIA', 'EUROPE'))""",
     "v_evidence": """
         SELECT 'bridge-' || leg || '|' || finding_id AS evidence_id, 'decomposition' AS kind, 'INR' AS unit,
                'pvm_bridge' AS method, NULL AS state, v AS value, CAST([] AS VARCHAR[]) AS supports

@@ -211,14 +211,11 @@ ANSWERS = {
     "injection_flags": f"SELECT conv_id, turn, {flags('text')} AS flags FROM v_turns",
     "redact": f"""SELECT doc_id, sha256({masked('text')}) AS text, {mask_counts('text')} AS masked
         FROM v_documents""",
-    "quarantine": f"""SELECT doc_id, flags, length(safe) AS length, ends_with(safe, ' [truncated]') AS cut,
-        sha256(safe) AS text FROM (
-          SELECT doc_id, flags, CASE WHEN length(s) > 4000 THEN substr(s, 1, 4000) || ' [truncated]'
-                 ELSE s END AS safe
-          FROM (SELECT doc_id, {flags('text')} AS flags, {SAFE} AS s FROM v_documents))""",
-    "citation_spans": """SELECT item_id, doc_id, strpos(d.text, substr(b.text, 1, 60)) - 1 AS start,
-        strpos(d.text, substr(b.text, 1, 60)) - 1 + length(substr(b.text, 1, 60)) AS "end"
-        FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))""",
+    "quarantine": f"""SELECT doc_id, flags, length(safe) AS length, sha256(safe) AS text
+        FROM (SELECT doc_id, {flags('text')} AS flags, {SAFE} AS safe FROM v_documents)""",
+    "citation_spans": """SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS start,
+        strpos(d.text, b.text) - 1 + length(b.text) AS "end"
+        FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
     "extract_score": f"""SELECT "set", count(*) AS n, count(*) FILTER (good) AS "right",
         round(100.0 * count(*) FILTER (good) / count(*), 1) AS pct
         FROM (SELECT doc_type AS "set", CASE WHEN label = '' THEN issue IN ('other', 'quality')

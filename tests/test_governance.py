@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftwise.config import RETAIL
 from driftwise.operators import actions, confidence, governance, signals
+from driftwise.operators.lineage import PolicyError
 
 KPI = RETAIL["net_revenue"]
 CAUSE = ("finding_id string, doc_id string, candidate_id string, kind string, description string,"
@@ -256,3 +257,9 @@ def test_fingerprint_ignores_row_order(spark):
     one = governance.fingerprints(d, sized).first().fingerprint
     assert one == governance.fingerprints(d, sized.orderBy(F.desc("doc_id"))).first().fingerprint
     assert one != governance.fingerprints(d, sized.filter("doc_id = 'a'")).first().fingerprint
+
+
+def test_persona_refuses_an_empty_list_of_regions(spark):
+    findings = spark.createDataFrame([("f1", "ASIA"), ("f2", "AFRICA")], "finding_id string, region string")
+    with pytest.raises(PolicyError):
+        governance.persona_view(findings, findings, (), "ops")
