@@ -134,12 +134,16 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a table's key that are all compared; above, neighbours in sorted orders are.
+#: The first pass compares all fingerprints of a table's key up to this many; above, neighbours in sorted orders.
 CROWD = 128
 #: Orders in which a larger group is sorted, each a rotation of the fingerprint's bits.
 ROTATIONS = (0, 21, 42)
-#: Links that a text may offer in one table's group, to the nearest texts of smaller id.
+#: Links that a text may offer in one table's group in the first pass, to the nearest texts of smaller id.
 NEAREST = 2
+#: Texts of about this many outsiders of a group stand in one array in the second pass.
+CHUNK = 512
+#: Bits of the parity marks of a text's set of shingles.
+MARKS = 1024
 
 
 def jaccard(width: int):
@@ -157,16 +161,45 @@ def jaccard(width: int):
     return of
 
 
-def _near_pairs(keys: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b), a < b, of the ids (fp, id, t, key) that collide and lie within the radius.
+def marks(width: int):
+    """A column function from text to the size of its set of shingles and, per bit, whether an odd number fall there."""
+
+    @pandas_udf("n long, marks array<long>")
+    def of(batch: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, width)) for t in batch]
+        odd = [np.bincount((h % MARKS).astype(np.int64), minlength=MARKS) & 1 for h in sets]
+        return pd.DataFrame({"n": pd.Series([len(h) for h in sets], dtype="int64"),
+                             "marks": [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd]})
+
+    return of
+
+
+def may_be_alike(x: Column, y: Column, similarity: float) -> Column:
+    """False only for sets that cannot be that alike.
+
+    Marks differ in no more bits than the sets differ in shingles, and sets of likeness s
+    differ in at most (1 - s) / (1 + s) of the sum of their sizes.
+    """
+    apart = F.aggregate(
+        F.zip_with(x["marks"], y["marks"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return apart <= (x["n"] + y["n"]) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+
+
+def crowded_keys(distinct: DataFrame, radius: int) -> DataFrame:
+    """(t, key, members, fp, id) of the fingerprints that share a table's key with another one."""
+    sized = table_keys(distinct, radius, "id").withColumn("members", F.count("*").over(Window.partitionBy("t", "key")))
+    return sized.filter("members > 1").select("t", "key", "members", "fp", "id")
+
+
+def first_pairs(shared: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, within the radius, that are likely to hold the groups together.
 
     In a small group each member is compared with all others and tried with the nearest
     of smaller id. In a group of many, it is tried with its neighbours in several sorted
     orders and with the group's smallest id. So a group's pairs follow its size, never
-    the square; each of the hundred other tables offers a member other neighbours.
+    the square. What they leave apart is settled by ``open_pairs``.
     """
-    sized = keys.withColumn("members", F.count("*").over(Window.partitionBy("t", "key"))).filter("members > 1")
-    groups = sized.filter(F.col("members") <= CROWD).groupBy("t", "key").agg(
+    groups = shared.filter(F.col("members") <= CROWD).groupBy("t", "key").agg(
         F.collect_list(F.struct("fp", "id")).alias("m"))
 
     def nearest(x: Column) -> Column:
@@ -175,38 +208,85 @@ def _near_pairs(keys: DataFrame, radius: int) -> DataFrame:
         return F.slice(F.array_sort(F.filter(near, lambda p: (p["a"] < p["b"]) & (p["bits"] <= radius))), 1, NEAREST)
 
     small = groups.select(F.explode(F.flatten(F.transform("m", nearest))).alias("p")).select("p.a", "p.b")
-    many = sized.filter(F.col("members") > CROWD)
+    many = shared.filter(F.col("members") > CROWD)
     turned = many.withColumn("turn", F.explode(F.array(*[F.lit(r) for r in ROTATIONS]))).withColumn(
         "order", F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)"))
     following = turned.withColumn(
         "next", F.expr("lead(struct(fp, id)) over (partition by t, key, turn order by order, id)"))
     first = many.groupBy("t", "key").agg(F.min(F.struct("id", "fp")).alias("first"))
-    tries = following.filter("next is not null").select("fp", "id", F.col("next.fp").alias("fp2"), F.col("next.id").alias("id2")).unionByName(
+    tries = following.filter("next is not null").select(
+        "fp", "id", F.col("next.fp").alias("fp2"), F.col("next.id").alias("id2")).unionByName(
         many.join(first, ["t", "key"]).select("fp", "id", F.col("first.fp").alias("fp2"), F.col("first.id").alias("id2")))
     large = tries.filter((F.col("id") != F.col("id2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)).select(
         F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     return small.unionByName(large).distinct()
 
 
+def open_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) within the radius in different components, all but those whose marks rule them out.
+
+    Only keys that hold several components matter. There, the members outside the largest
+    component stand in arrays of about ``CHUNK``, and every member of the key meets each
+    array; so a key costs its members times its outsiders, of which a group of copies
+    has few. No key is ever in one task or one array, and pairs that cannot be alike
+    are ruled out inside the arrays, before any row is made.
+    """
+    named = shared.join(roots, F.col("id") == F.col("node"), "left").select(
+        "t", "key", "fp", "id", F.coalesce("root", "id").alias("root"))
+    parts = named.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("t", "key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
+    members = named.join(mixed, ["t", "key"]).join(sets, "id").select(
+        "t", "key", "main", "outside", F.struct("id", "fp", "root", "n", "marks").alias("x"))
+    piles = members.filter("x.root <> main").groupBy(
+        "t", "key", F.expr(f"pmod(xxhash64(x.id), ceil(outside / {CHUNK}))").alias("pile")).agg(
+        F.collect_list("x").alias("others")).drop("pile")
+    x = F.col("x")
+
+    def wanted(y: Column) -> Column:
+        new = (y["root"] != x["root"]) & ((x["root"] == F.col("main")) | (y["id"] < x["id"]))
+        near = F.bit_count(y["fp"].bitwiseXOR(x["fp"])) <= radius
+        return new & near & may_be_alike(x, y, similarity)
+
+    met = members.join(piles, ["t", "key"]).select(
+        "x.id", F.explode(F.transform(F.filter("others", wanted), lambda y: y["id"])).alias("other"))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def alike_pairs(pairs: DataFrame, distinct: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids of distinct texts whose sets of shingles are alike enough; own has the texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct, "id").select(
+        F.col("id").alias(ID), HASH)
+    fetched = saved(own.join(wanted, [ID, HASH]).groupBy(ID).agg(F.max("text").alias("text")), "texts")
+    left, right = fetched.toDF("a", "left"), fetched.toDF("b", "right")
+    told = pairs.join(left, "a").join(right, "b").withColumn("alike", jaccard(width)("left", "right"))
+    return told.filter(F.col("alike") >= similarity).select("a", "b")
+
+
 def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies, with its columns.
 
     Equal texts are merged first. Fingerprints of the distinct words of each text are
-    brought together by a covering of the radius; the pairs within it are links if their
-    sets of ``width``-word shingles are alike enough, and groups are the links' components.
+    brought together by a covering of the radius; pairs within it are links if their sets
+    of ``width``-word shingles are alike enough, and groups are the links' components. A
+    first pass tries few pairs; a second tries every pair that it left in two components,
+    so the groups are those that all pairs within the radius would give.
     Words serve for finding since a changed word costs one of them but ``width`` shingles.
     """
     own = keyed(docs).select(ID, HASH, text_column(docs).alias("text"))
-    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp")), "prints")
-    distinct = prints.groupBy(HASH).agg(F.min(ID).alias("id"), F.min("fp").alias("fp"))
-    pairs = saved(_near_pairs(table_keys(distinct.select("fp", "id"), radius, "id"), radius), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct, "id").select(
-        F.col("id").alias(ID), HASH)
-    fetched = saved(own.join(wanted, [ID, HASH]).groupBy(ID).agg(F.max("text").alias("text")), "texts")
-    left = fetched.select(F.col(ID).alias("a"), F.col("text").alias("left"))
-    right = fetched.select(F.col(ID).alias("b"), F.col("text").alias("right"))
-    alike = pairs.join(left, "a").join(right, "b").withColumn("alike", jaccard(width)("left", "right"))
-    roots = components(alike.filter(F.col("alike") >= similarity).select("a", "b"))
+    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp"), marks(width)("text").alias("m")), "prints")
+    distinct = prints.groupBy(HASH).agg(F.min(ID).alias("id"), F.min("fp").alias("fp"), F.min_by("m", ID).alias("m"))
+    sets = saved(distinct.select("id", HASH, "m.n", "m.marks"), "sets")
+    shared = saved(crowded_keys(distinct.select("fp", "id"), radius), "keys")
+    tried = first_pairs(shared, radius)
+    sides = sets.select("id", F.struct("n", "marks").alias("m"))
+    likely = saved(tried.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").filter(
+        may_be_alike(F.col("x"), F.col("y"), similarity)).select("a", "b"), "pairs")
+    found = saved(alike_pairs(likely, sets, own, width, similarity), "alike")
+    rest = open_pairs(shared, components(found), sets.select("id", "n", "marks"), radius, similarity)
+    rest = saved(rest.join(likely, ["a", "b"], "left_anti"), "pairs")
+    more = saved(alike_pairs(rest, sets, own, width, similarity), "alike")
+    roots = components(found.unionByName(more))
     kept = prints.join(distinct.select(HASH, "id"), HASH).join(roots, F.col("id") == F.col("node"), "left").filter(
         F.col(ID) == F.coalesce("root", "id")).select(ID, HASH).distinct()
     first = keyed(docs).join(kept, [ID, HASH], "left_semi")

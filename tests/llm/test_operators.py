@@ -120,6 +120,33 @@ def test_near_copies_leave_one_of_each_group(frame):
     assert [r.doc_id for r in kept if r.doc_id >= 5000] in ([5000, 5002], [5002, 5000])
 
 
+def test_near_copies_as_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    r = random.Random(8)
+    words = ["w%d" % i for i in range(4000)]
+    rows = [(None, "a text without an id"), (9000, None), (9001, " "), (9002, "short")]
+    for size, edits in ((90, 4), (60, 2), (12, 3), (3, 1), (1, 0), (1, 0)):
+        base = [r.choice(words) for _ in range(150)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(r.randint(0, edits)):
+                copy[r.randrange(150)] = "edit%d" % r.randrange(10**6)
+            rows.append((len(rows) * 7, " ".join(copy)))
+    first = {}
+    for i, t in rows:
+        first[t or ""] = min(first.get(t or "", key(i)), key(i))
+    prints = {t: simhash.fold_bits(np.unique(simhash.shingle_hashes(t, 1))) for t in first}
+    sets = {t: set(simhash.shingle_hashes(t, 5).tolist()) for t in first}
+    near = [(t, u) for t, u in combinations(first, 2) if ((prints[t] ^ prints[u]) & (1 << 64) - 1).bit_count() <= 6]
+    links = [(first[t], first[u]) for t, u in near
+             if not sets[t] | sets[u] or len(sets[t] & sets[u]) / len(sets[t] | sets[u]) >= 0.8]
+    least = roots(set(first.values()), links)
+    want = sorted(i for i in least if least[i] == i)
+    got = sorted(key(x.doc_id) for x in simhash.first_of_groups(frame(rows)).collect())
+    assert got == want and len(near) > len(links) > 200
+
+
 def test_merkle_as_brute_force(frame):
     rows = prose(13)
     order = sorted(rows, key=lambda x: (key(x[0]), (x[1] or "").encode()), reverse=True)
