@@ -63,7 +63,7 @@ FACTS = " UNION ALL ".join((
     fact("v_diagnoses", "'f-movement'", "'net_revenue moved over the window'", "total_change", "INR", "movement"),
     fact("v_diagnoses WHERE base_revenue <> 0", "'f-movement-pct'",
          "'the movement as a proportion of the baseline'", "total_change / base_revenue", "pct", "movement"),
-    fact("v_diagnoses", "'f-explained'", "'the part of the movement verified causes account for'",
+    fact("v_diagnoses", "'f-explained'", "'sum attributed to verified causes'",
          "explained", "INR", "coverage"),
     fact("v_diagnoses WHERE overlap > 1", "'f-overlap'", "'how far the verified causes overlap'",
          "overlap", "pct", "coverage"),
@@ -77,7 +77,7 @@ FACTS = " UNION ALL ".join((
     fact("v_cards", "'f-decision-' || rank", "'decision: ' || action", "recovery", "INR", "decision"),
     fact("v_gap", "'f-gap'", "'signal gap verdict ' || verdict", "best_lead", "hours", "signal_gap", "verdict"),
     fact("v_gap WHERE recurrence > 0", "'f-gap-recurrence'",
-         "'prior episodes of the same warning class over this slice'", "recurrence", "count", "signal_gap"),
+         "'earlier findings after such a warning here'", "recurrence", "count", "signal_gap"),
 ))
 
 NORMAL = ("ltrim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace("
@@ -311,8 +311,8 @@ VIEWS = {
     "v_chain": """
         SELECT a.seq, CASE WHEN a.prev IS DISTINCT FROM
                  CASE WHEN a.seq = 1 THEN repeat('0', 64) ELSE b.hash END
-               THEN 'links to a different previous entry'
-               WHEN a.hash <> sha256(a.body) THEN 'contents do not match their hash' END AS problem
+               THEN 'prev is not the hash of row seq - 1'
+               WHEN a.hash <> sha256(a.body) THEN 'hash differs from the digest of the row' END AS problem
         FROM v_audit a LEFT JOIN v_audit b ON b.seq = a.seq - 1""",
 }
 
