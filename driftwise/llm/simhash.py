@@ -229,15 +229,18 @@ def open_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, radius: int
     component stand in arrays of about ``CHUNK``, and every member of the key meets each
     array; so a key costs its members times its outsiders, of which a group of copies
     has few. No key is ever in one task or one array, and pairs that cannot be alike
-    are ruled out inside the arrays, before any row is made.
+    are ruled out inside the arrays, before any row is made. A text has one key per table
+    at most, so its keys are listed while its marks are fetched, once per text.
     """
     named = shared.join(roots, F.col("id") == F.col("node"), "left").select(
         "t", "key", "fp", "id", F.coalesce("root", "id").alias("root"))
     parts = named.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("t", "key").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
-    members = named.join(mixed, ["t", "key"]).join(sets, "id").select(
-        "t", "key", "main", "outside", F.struct("id", "fp", "root", "n", "marks").alias("x"))
+    places = named.join(mixed, ["t", "key"]).groupBy("id", "fp", "root").agg(
+        F.collect_list(F.struct("t", "key", "main", "outside")).alias("places"))
+    members = places.join(sets, "id").select(
+        F.struct("id", "fp", "root", "n", "marks").alias("x"), F.inline("places"))
     piles = members.filter("x.root <> main").groupBy(
         "t", "key", F.expr(f"pmod(xxhash64(x.id), ceil(outside / {CHUNK}))").alias("pile")).agg(
         F.collect_list("x").alias("others")).drop("pile")
