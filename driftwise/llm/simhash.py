@@ -290,7 +290,7 @@ def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity
     rest = saved(rest.join(likely, ["a", "b"], "left_anti"), "pairs")
     more = saved(alike_pairs(rest, sets, own, width, similarity), "alike")
     roots = components(found.unionByName(more))
-    kept = prints.join(distinct.select(HASH, "id"), HASH).join(roots, F.col("id") == F.col("node"), "left").filter(
-        F.col(ID) == F.coalesce("root", "id")).select(ID, HASH).distinct()
+    kept = sets.select(F.col("id").alias(ID), HASH).join(roots, F.col(ID) == F.col("node"), "left").filter(
+        F.col(ID) == F.coalesce("root", ID)).select(ID, HASH)
     first = keyed(docs).join(kept, [ID, HASH], "left_semi")
     return first.dropDuplicates([ID, HASH]).select(*[F.col(f"`{c}`") for c in docs.columns])
