@@ -11,7 +11,7 @@ from driftwise.operators import candidates as cands
 from driftwise.operators import causal
 from driftwise.operators import decomposition as parts
 from driftwise.plans.registry import job
-from driftwise.plans.series_jobs import driver_path, regional, rounded
+from driftwise.plans.series_jobs import driver_path, findings, rounded
 from driftwise.sources.estate import Estate
 
 DIMS = ("channel", "category", "device", "sku")
@@ -35,12 +35,10 @@ def cases(e: Estate) -> DataFrame:
 
 
 def open_cases(e: Estate) -> DataFrame:
-    """One finding per region and month: its first fortnight."""
-    months = regional(e).filter("kpi_id = 'net_revenue'").select(
-        "region", F.date_trunc("month", "ts").cast("date").alias("start")).distinct()
-    return months.filter(F.col("start").between("1996-03-01", "2000-12-31")).select(
-        F.concat_ws("|", "region", F.date_format("start", "yyyy-MM")).alias("finding_id"),
-        "region", "start", F.date_add("start", 13).alias("end"))
+    """Every detected revenue finding, rises and drops alike."""
+    return findings(e).filter("kpi_id = 'net_revenue'").select(
+        F.concat_ws("|", "region", "direction", day_text("start")).alias("finding_id"),
+        "region", "start", "end")
 
 
 def facts(e: Estate) -> DataFrame:
@@ -86,7 +84,7 @@ def pvm_bridge(e: Estate) -> DataFrame:
     out = parts.price_volume_mix(parts.two_periods(cases(e), facts(e), ("sku",)))
     return rounded(out.select("finding_id", "base_revenue", "current_revenue", "volume", "mix",
                               "price", "products", "status"),
-                   5, "base_revenue", "current_revenue", "volume", "mix", "price")
+                   2, "base_revenue", "current_revenue", "volume", "mix", "price")
 
 
 def slices(e: Estate) -> DataFrame:

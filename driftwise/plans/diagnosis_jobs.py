@@ -77,23 +77,17 @@ def judge(e: Estate, found: DataFrame, causes: DataFrame, support: DataFrame,
     return judged.join(found, "finding_id").join(state, "finding_id").withColumn("verdict", verdict)
 
 
-QUEUE = 25
-
-
 @job("diagnosed_queue")
 def diagnosed_queue(e: Estate) -> DataFrame:
-    """Detection to verdict: the largest revenue findings, each diagnosed.
+    """Detection to verdict: every revenue finding, diagnosed.
 
     The movement's direction is measured against the expected line, not against
     the fortnight before, which a seasonal ramp can point the wrong way.
     """
-    revenue = detection.queue(findings(e).filter(F.col("kpi_id") == KPI.kpi_id), QUEUE, "both")
-    found = e.stage("queue", lambda: revenue.select(
-        F.concat_ws("|", "region", "direction", day_text("start")).alias("finding_id"),
-        "kpi_id", "region", "start", "end"))
+    places = cases(e)
+    found = places.withColumn("kpi_id", F.lit(KPI.kpi_id))
     moved = detection.expected_direction(scored(e), found).select(
         "finding_id", F.signum("gap").alias("movement"))
-    places = found.drop("kpi_id")
     causes = e.stage("queue_causes", lambda: test_all(e, gather(e, places), moved))
     proven = confidence.contributions_of(causes.filter("state = 'verified'"), facts(e))
     out = judge(e, places, proven, support_all(e, causes.filter("state = 'verified'")))

@@ -45,10 +45,9 @@ SPANS = """
 
 VIEWS = {
     "v_cases": """
-        SELECT region || '|' || strftime(m, '%Y-%m') AS finding_id, region,
-               m AS case_start, m + 13 AS case_end
-        FROM (SELECT DISTINCT region, CAST(date_trunc('month', d) AS DATE) AS m FROM v_net_day)
-        WHERE m BETWEEN DATE '1996-03-01' AND DATE '2000-12-31'""",
+        SELECT region || '|' || direction || '|' || strftime(start_day, '%Y-%m-%d') AS finding_id,
+               region, start_day AS case_start, end_day AS case_end
+        FROM v_findings WHERE kpi_id = 'net_revenue'""",
     "v_booked": """
         SELECT region, CAST(order_ts AS DATE) AS d,
                CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) AS DOUBLE) AS secondary
@@ -76,9 +75,9 @@ VIEWS = {
           AND f.d BETWEEN case_start - 14 AND case_end""",
     "v_by_sku": """
         SELECT finding_id, sku, coalesce(sum(units) FILTER (is_base), 0) / 14 AS u0,
-               coalesce(sum(units) FILTER (NOT is_base), 0) / 14 AS u1,
+               coalesce(sum(units) FILTER (NOT is_base), 0) / any_value(length) AS u1,
                coalesce(sum(revenue) FILTER (is_base), 0) / 14 AS r0,
-               coalesce(sum(revenue) FILTER (NOT is_base), 0) / 14 AS r1
+               coalesce(sum(revenue) FILTER (NOT is_base), 0) / any_value(length) AS r1
         FROM v_period_facts GROUP BY finding_id, sku""",
     "v_priced": """
         SELECT *, coalesce(r0 / nullif(u0, 0), r1 / nullif(u1, 0), 0) AS p0,
@@ -97,11 +96,11 @@ VIEWS = {
         SELECT *, current - base AS delta, sum(current - base) OVER (PARTITION BY finding_id, dimension) AS total
         FROM (SELECT finding_id, dimension, slice,
                      coalesce(sum(revenue) FILTER (is_base), 0) / 14 AS base,
-                     coalesce(sum(revenue) FILTER (NOT is_base), 0) / 14 AS current
-              FROM (UNPIVOT (SELECT finding_id, is_base, revenue, channel, category, device, sku
+                     coalesce(sum(revenue) FILTER (NOT is_base), 0) / any_value(length) AS current
+              FROM (UNPIVOT (SELECT finding_id, is_base, length, revenue, channel, category, device, sku
                              FROM v_period_facts) ON channel, category, device, sku
                     INTO NAME dimension VALUE slice)
-              GROUP BY ALL)""",
+              GROUP BY finding_id, dimension, slice)""",
     "v_moved": """
         SELECT finding_id, coalesce(sum(net) FILTER (d < case_start), 0) / 14 AS base_revenue,
                coalesce(sum(net) FILTER (d >= case_start), 0)
@@ -250,9 +249,9 @@ ANSWERS = {
         LEFT JOIN (SELECT finding_id, source, count(*) AS n, max(abs(residual)) AS worst,
                           count(*) FILTER (abs(residual) > 0.05) AS breaches
                    FROM v_gaps GROUP BY ALL) USING (finding_id, source)""",
-    "pvm_bridge": """SELECT finding_id, round(base_revenue, 5) AS base_revenue,
-        round(current_revenue, 5) AS current_revenue, round(volume, 5) AS volume, round(mix, 5) AS mix,
-        round(price, 5) AS price, products,
+    "pvm_bridge": """SELECT finding_id, round(base_revenue, 2) AS base_revenue,
+        round(current_revenue, 2) AS current_revenue, round(volume, 2) AS volume, round(mix, 2) AS mix,
+        round(price, 2) AS price, products,
         CASE WHEN q0 <= 0 THEN 'no_baseline'
              WHEN abs(current_revenue - base_revenue - volume - mix - price) > 0.10
              THEN 'does_not_reconcile' ELSE 'ok' END AS status FROM v_pvm""",

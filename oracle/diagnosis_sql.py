@@ -538,14 +538,9 @@ ANSWERS = {
     "chain_breaks": "SELECT seq, problem FROM v_chain WHERE problem IS NOT NULL",
 }
 
-# The whole chain again over the detected queue instead of the monthly cases.
+# The whole chain with each movement's direction measured against the expected line.
 OVERRIDES = {
     "diagnosed_queue": {
-        "v_cases": """
-            SELECT region || '|' || direction || '|' || strftime(start_day, '%Y-%m-%d') AS finding_id,
-                   region, start_day AS case_start, end_day AS case_end
-            FROM (SELECT * FROM v_findings WHERE kpi_id = 'net_revenue'
-                  ORDER BY impact DESC, kpi_id, region, start_day LIMIT 25)""",
         "v_direction": """
             SELECT finding_id, sign(nullif(sum(value - expected), 0)) AS movement
             FROM v_cases c JOIN v_scored s ON s.kpi_id = 'net_revenue' AND s.region = c.region
