@@ -300,7 +300,7 @@ def projections(e: Estate) -> DataFrame:
 def fair_target(e: Estate) -> DataFrame:
     """Judged on every finding, so that both kinds of verdict show."""
     asked = diagnoses(e).withColumn("verdict", F.lit("explained"))
-    return rounded(actions.fair_target(asked, cards(e), gaps(e)), 1, "net", "policy", "all_excused")
+    return rounded(actions.fair_target(asked, cards(e), gaps(e)), 2, "net", "policy", "all_excused")
 
 
 @job("recovery_outlook")

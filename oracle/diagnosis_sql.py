@@ -441,11 +441,11 @@ ANSWERS = {
                    WHERE kind = 'release_log' GROUP BY finding_id) USING (finding_id)
         LEFT JOIN (SELECT finding_id, sum(abs(contribution)) FILTER (kind IN ('ops_note', 'promotion'))
                      AS outside FROM v_sized GROUP BY finding_id) USING (finding_id)""",
-    "fair_target": """SELECT finding_id, round(any_value(total_change), 1) AS net,
+    "fair_target": """SELECT finding_id, round(any_value(total_change), 2) AS net,
         count(*) FILTER (NOT controllable) AS factors,
-        round(any_value(total_change) - coalesce(sum(amount) FILTER (NOT controllable AND NOT warned), 0), 1)
+        round(any_value(total_change) - coalesce(sum(amount) FILTER (NOT controllable AND NOT warned), 0), 2)
           AS policy,
-        round(any_value(total_change) - coalesce(sum(amount) FILTER (NOT controllable), 0), 1) AS all_excused
+        round(any_value(total_change) - coalesce(sum(amount) FILTER (NOT controllable), 0), 2) AS all_excused
         FROM v_fair GROUP BY finding_id""",
     "recovery_outlook": """SELECT finding_id,
         round(sum(CASE WHEN controllable THEN coalesce(recovery, 0) ELSE 0 END) / greatest(overlap, 1), 2)
