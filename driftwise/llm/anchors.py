@@ -7,7 +7,8 @@ lies in exactly one context, and only contexts whose anchor gram is the same can
 a window. Per context there is one short packed record (anchor hash, content hash,
 place); those are shuffled by anchor, after equal contexts of a batch were merged.
 
-Contexts of equal content are settled by the hashes. Where one anchor has different
+Contexts of equal content are settled by 64 bits of the whole context beside the 48 of
+its anchor; what is known of single stretches only says which contexts to fetch. Where one anchor has different
 contexts, a shared window must hold either a fixed stretch before the anchor or one
 after it, so only contexts that agree on one of the two can share a window. Their text
 is fetched and an index, given by the operator, decides for every window. An anchor with very many different contexts is split: there each window is
@@ -91,15 +92,15 @@ class Powers:
 
 
 def contexts(units: np.ndarray, lengths: np.ndarray, rule: Rule, powers: Powers):
-    """(piece, first window, windows, anchor's place, anchor hash, content hash) of joined pieces, as arrays.
+    """(piece, first window, windows, anchor's place, anchor hash, content hash, stretches) of joined pieces, as arrays.
 
-    The low 48 bits of the content hash are 16 each of the whole context, the stretch
-    that windows beginning well before the anchor share, and the one that the others
-    share; a stretch is zero if the context has no such window.
+    The content hash has 64 bits of the whole context. The stretches are 16 bits each of
+    the stretch that windows beginning well before the anchor share, and of the one that
+    the others share; a stretch is zero if the context has no such window.
     """
     window, gram = rule.window, rule.gram
     n = len(units)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     if n < window:
         return none
     powers.reach(n)
@@ -138,8 +139,7 @@ def contexts(units: np.ndarray, lengths: np.ndarray, rule: Rule, powers: Powers)
 
     left = stretch(before, anchor - half, anchor + gram)
     right = stretch(after, anchor, anchor + window - half + 1)
-    content = (content >> np.uint64(48)) << np.uint64(32) | left << np.uint64(16) | right
-    return piece, begin - begins[piece], many, anchor - begin, hashes[anchor], content
+    return piece, begin - begins[piece], many, anchor - begin, hashes[anchor], content, left << np.uint64(16) | right
 
 
 def pieces_of(units: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,15 +152,15 @@ def pieces_of(units: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def _joined(batch: pa.RecordBatch, rule: Rule, powers: Powers):
-    """Contexts of a batch: (row, first window, windows, anchor's place, anchor, content)."""
+    """Contexts of a batch: (row, first window, windows, anchor's place, anchor, content, stretches)."""
     found, held, sizes, where, total = [], [], [], [], 0
 
     def flush():
         nonlocal held, sizes, where, total
         if held:
-            piece, at, many, off, h, c = contexts(np.concatenate(held), np.array(sizes), rule, powers)
+            piece, at, many, off, h, c, s = contexts(np.concatenate(held), np.array(sizes), rule, powers)
             rows, skips = np.array([w[0] for w in where]), np.array([w[1] for w in where])
-            found.append((rows[piece], at + skips[piece], many, off, h, c))
+            found.append((rows[piece], at + skips[piece], many, off, h, c, s))
         held, sizes, where, total = [], [], [], 0
 
     for row, text in enumerate(batch.column("text")):
@@ -187,9 +187,9 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-RECORD = "bucket int, kind int, id binary, hash binary, at binary, many binary, off binary, h binary, c binary, copies binary"
-NAMES = ("id", "hash", "at", "many", "off", "h", "c", "copies")
-KINDS = ("<i8", "<i8", "<u4", "u1", "u1", "V6", "V6", "u1")
+RECORD = "bucket int, kind int, id binary, hash binary, at binary, many binary, off binary, h binary, c binary, s binary, copies binary"
+NAMES = ("id", "hash", "at", "many", "off", "h", "c", "s", "copies")
+KINDS = ("<i8", "<i8", "<u4", "u1", "u1", "V6", "<u8", "<u4", "u1")
 
 
 def _packed(bucket: int, kind: int, columns: list[np.ndarray]) -> dict:
@@ -208,7 +208,7 @@ def _unpacked(row: dict) -> list[np.ndarray]:
             wide[:, :6] = np.frombuffer(raw, "u1").reshape(-1, 6)
             out.append(wide.reshape(-1).view("<u8"))
         else:
-            out.append(np.frombuffer(raw, k).astype(np.int64))
+            out.append(np.frombuffer(raw, k).astype(k if k == "<u8" else np.int64))
     return out
 
 
@@ -236,11 +236,11 @@ def _records(rule: Rule, buckets: int):
             made = _joined(batch, rule, powers)
             if made is None:
                 continue
-            row, at, many, off, h, c = made
+            row, at, many, off, h, c, s = made
             ids = batch.column(ID).to_numpy(zero_copy_only=False)
             hashes = batch.column(HASH).to_numpy(zero_copy_only=False)
             order = np.lexsort((ids[row], c, h))
-            row, at, many, off, h, c = (x[order] for x in made)
+            row, at, many, off, h, c, s = (x[order] for x in made)
             first = _groups(h, c)
             sizes = np.diff(np.append(first, len(h)))
             if rule.earlier:
@@ -259,17 +259,17 @@ def _records(rule: Rule, buckets: int):
                 for part in np.split(chosen, np.flatnonzero(np.diff(to[chosen])) + 1):
                     if len(part):
                         rows.append(_packed(int(to[part[0]]), kind, [
-                            ids[row[part]], hashes[row[part]], at[part], many[part], off[part], h[part], c[part], copies[part]]))
+                            ids[row[part]], hashes[row[part]], at[part], many[part], off[part], h[part], c[part], s[part], copies[part]]))
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
-def _meeting(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _meeting(h: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Which of the different contexts agree with another one of their anchor on a stretch."""
     meets = np.zeros(len(h), bool)
     for shift in (0, 16):
-        side = (c >> np.uint64(shift)) & np.uint64(0xFFFF)
+        side = (s >> shift) & 0xFFFF
         order = np.lexsort((side, h))
         group = _groups(h[order], side[order])
         sizes = np.diff(np.append(group, len(h)))
@@ -301,9 +301,9 @@ def _settle(rule: Rule):
         if not held:
             return
         columns = None
-        ids, hashes, at, many, off, h, c, copies = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, hashes, at, many, off, h, c, s, copies = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((at, ids, c, h))
-        ids, hashes, at, many, off, h, c, copies = (x[order] for x in (ids, hashes, at, many, off, h, c, copies))
+        ids, hashes, at, many, off, h, c, s, copies = (x[order] for x in (ids, hashes, at, many, off, h, c, s, copies))
         first = _groups(h, c)
         sizes = np.diff(np.append(first, len(h)))
         if rule.earlier:
@@ -315,7 +315,7 @@ def _settle(rule: Rule):
             asked = ~several
             asked[first] = True
         yield table(SETTLED, *(x[settled] for x in (ids, hashes, at, many, off, h)))
-        asked &= np.repeat(_meeting(h[first], c[first]), sizes)
+        asked &= np.repeat(_meeting(h[first], s[first]), sizes)
         yield table(OPEN, *(x[asked] for x in (ids, hashes, at, many, off, h)))
 
     return run

@@ -71,6 +71,17 @@ def test_long_texts_are_cut_without_losing_windows(frame, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == bytes_brute(rows, 20)
 
 
+def test_different_surroundings_of_one_passage_stay_apart(frame):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join([*(word() for _ in range(20)), passage, *(word() for _ in range(20))])) for i in range(3000)]
+    got = run_index.dedup_bytes(frame(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == bytes_brute(rows, 50)
+    got = automata.dedup_words(frame(rows)).select("doc_id", "n_words", "n_removed", "kept")
+    assert Counter(tuple(r) for r in got.collect()) == words_brute(rows, 35)
+
+
 def test_empty_table(frame):
     assert run_index.dedup_bytes(frame([])).count() == 0
     assert automata.dedup_words(frame([])).count() == 0
