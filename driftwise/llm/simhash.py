@@ -191,6 +191,38 @@ def crowded_keys(distinct: DataFrame, radius: int) -> DataFrame:
     return sized.filter("members > 1").select("t", "key", "members", "fp", "id")
 
 
+def shingle_sets(width: int):
+    """A column function from text to its set of shingles; zero stands for an empty set."""
+
+    @pandas_udf("array<long>")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([(h if len(h) else np.zeros(1, np.uint64)).view(np.int64) for h in (
+            np.unique(shingle_hashes(t, width)) for t in batch)])
+
+    return of
+
+
+def rare_keys(sets: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(t, key, members, fp, id): texts at the rarest shingles of their sets, such that alike ones meet.
+
+    Two sets that are alike share at least ``similarity`` of the shingles of either one. So
+    under any one order of shingles they share one of the first (1 - similarity) n + 1 of
+    each set of n. Rare ones come first, and those that no other text has need no row.
+    """
+    whole = own.join(sets.select("id", "fp", "n", F.col("id").alias(ID), HASH), [ID, HASH]).dropDuplicates([ID, HASH])
+    every = whole.select("id", F.explode(shingle_sets(width)("text")).alias("s"))
+    met = every.withColumn("times", F.count("*").over(Window.partitionBy("s"))).filter("times > 1")
+    listed = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("met")).join(
+        sets.select("id", "fp", "n"), "id")
+    alone = F.col("n") - F.size("met")
+    first = F.floor(F.col("n") * F.lit(1 - similarity) + F.lit(1e-6)) + 1
+    wanted = F.greatest(first - alone, F.lit(0)).cast("int")
+    places = listed.select("id", "fp", F.explode(F.slice("met", F.lit(1), wanted)).alias("m"))
+    keys = places.select(F.lit(-1).cast("short").alias("t"), F.col("m.s").alias("key"), "fp", "id")
+    sized = keys.withColumn("members", F.count("*").over(Window.partitionBy("key")))
+    return sized.filter("members > 1").select("t", "key", "members", "fp", "id")
+
+
 def first_pairs(shared: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b), a < b, within the radius, that are likely to hold the groups together.
 
@@ -266,27 +298,32 @@ def alike_pairs(pairs: DataFrame, distinct: DataFrame, own: DataFrame, width: in
     return told.filter(F.col("alike") >= similarity).select("a", "b")
 
 
-def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity: float = 0.8, beyond: bool = False) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies, with its columns.
 
-    Equal texts are merged first. Fingerprints of the distinct words of each text are
-    brought together by a covering of the radius; pairs within it are links if their sets
-    of ``width``-word shingles are alike enough, and groups are the links' components. A
-    first pass tries few pairs; a second tries every pair that it left in two components,
-    so the groups are those that all pairs within the radius would give.
+    Equal texts are merged first. Links are the pairs whose sets of ``width``-word shingles
+    are alike enough, and groups are the links' components. Fingerprints of the distinct
+    words of each text are brought together by a covering of the radius; with ``beyond``,
+    texts also meet at rare shingles, as alike ones always do, however far their
+    fingerprints are apart. A first pass tries few of the pairs that meet; a second tries
+    every one that it left in two components, so the groups are those that all pairs
+    within the radius, or with ``beyond`` all pairs there are, would give.
     Words serve for finding since a changed word costs one of them but ``width`` shingles.
     """
     own = keyed(docs).select(ID, HASH, text_column(docs).alias("text"))
     prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp"), marks(width)("text").alias("m")), "prints")
     distinct = prints.groupBy(HASH).agg(F.min(ID).alias("id"), F.min("fp").alias("fp"), F.min_by("m", ID).alias("m"))
-    sets = saved(distinct.select("id", HASH, "m.n", "m.marks"), "sets")
-    shared = saved(crowded_keys(distinct.select("fp", "id"), radius), "keys")
-    tried = first_pairs(shared, radius)
+    sets = saved(distinct.select("id", HASH, "fp", "m.n", "m.marks"), "sets")
+    shared = saved(crowded_keys(sets.select("fp", "id"), radius), "keys")
+    tried, places, reach = first_pairs(shared, radius), shared, radius
+    if beyond:
+        places, reach = saved(rare_keys(sets, own, width, similarity), "rare"), BITS
+        tried = tried.unionByName(first_pairs(places, BITS)).distinct()
     sides = sets.select("id", F.struct("n", "marks").alias("m"))
     likely = saved(tried.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").filter(
         may_be_alike(F.col("x"), F.col("y"), similarity)).select("a", "b"), "pairs")
     found = saved(alike_pairs(likely, sets, own, width, similarity), "alike")
-    rest = open_pairs(shared, components(found), sets.select("id", "n", "marks"), radius, similarity)
+    rest = open_pairs(places, components(found), sets.select("id", "n", "marks"), reach, similarity)
     rest = saved(rest.join(likely, ["a", "b"], "left_anti"), "pairs")
     more = saved(alike_pairs(rest, sets, own, width, similarity), "alike")
     roots = components(found.unionByName(more))

@@ -147,6 +147,37 @@ def test_near_copies_as_brute_force(frame, monkeypatch):
     assert got == want and len(near) > len(links) > 200
 
 
+def test_near_copies_with_a_block_added_or_cut_are_found(frame):
+    r = random.Random(9)
+    words = ["w%d" % i for i in range(50000)]
+    rows, far = [], 0
+    for g in range(60):
+        base = [r.choice(words) for _ in range(300)]
+        added, cut = base + [r.choice(words) for _ in range(60)], base[50:]
+        texts = [" ".join(t) for t in (base, added if g % 2 else cut)]
+        a, b = (simhash.fold_bits(np.unique(simhash.shingle_hashes(t, 1))) for t in texts)
+        far += ((a ^ b) & (1 << 64) - 1).bit_count() > 6
+        rows += [(g, texts[0]), (1000 + g, texts[1])]
+    assert far > 10
+    base = [r.choice(words) for _ in range(150)]
+    for i in range(80):
+        copy = list(base)
+        for _ in range(r.randint(0, 4)):
+            copy[r.randrange(150)] = "edit%d" % r.randrange(10**6)
+        rows.append((3000 + i, " ".join(copy)))
+    rows += [(5000, None), (5001, " "), (5002, "short"), rows[-1]]
+    first = {}
+    for i, t in rows:
+        first[t or ""] = min(first.get(t or "", i), i)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for t, i in first.items()}
+    links = [(a, b) for a, b in combinations(sets, 2)
+             if not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    least = roots(set(sets), links)
+    assert sum(a < 60 for a, _ in links) == 60
+    got = simhash.first_of_groups(frame(rows), beyond=True).collect()
+    assert sorted(x.doc_id for x in got) == sorted(i for i in least if least[i] == i)
+
+
 def test_merkle_as_brute_force(frame):
     rows = prose(13)
     order = sorted(rows, key=lambda x: (key(x[0]), (x[1] or "").encode()), reverse=True)
