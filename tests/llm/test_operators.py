@@ -292,6 +292,15 @@ def test_quality_keeps_clean_texts_and_finds_junk(spark, frame):
     assert perplexity.accepted(frame([]), labels).count() == 0
 
 
+def test_quality_threshold_is_the_quantile_and_the_allowance(spark, frame):
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(100, 900)))) for i in range(150)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = perplexity.judged(frame(rows), labels).select("text", "__dw_bits", "__dw_threshold").collect()
+    limit = sorted(x[1] for x in got)[148]
+    assert all(abs(x[2] - limit - 5 / len(x[0]) ** 0.5) < 0.0011 for x in got)
+
+
 def contaminated(rows, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     sought = defaultdict(set)
