@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import automata, decontaminate, lines, merkle, packing, perplexity, run_index, secrets, simhash, wavelet
+from driftwise.llm import (
+    automata, decontaminate, lines, merkle, packing, perplexity, run_index, secrets, simhash, spelling, wavelet,
+)
 from driftwise.llm.common import table, text_column
 
 
@@ -60,6 +62,10 @@ def op10_wavelet(spark: SparkSession, root: str) -> DataFrame:
     return wavelet.token_files(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_spelling(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.variants(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -71,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_perplexity": op8_perplexity,
     "op9_decontaminate": op9_decontaminate,
     "op10_wavelet": op10_wavelet,
+    "op11_spelling": op11_spelling,
 }
 SQL: dict[str, str] = {}
