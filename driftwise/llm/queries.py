@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.llm import (
-    automata, decontaminate, lines, merkle, packing, perplexity, run_index, secrets, simhash, spelling, wavelet,
+    automata, decontaminate, lines, merkle, packing, perplexity, prefix_trie, run_index, secrets, simhash,
+    spelling, sql, wavelet,
 )
 from driftwise.llm.common import table, text_column
 
@@ -66,6 +67,10 @@ def op11_spelling(spark: SparkSession, root: str) -> DataFrame:
     return spelling.variants(table(spark, root, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, root, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -78,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_wavelet": op10_wavelet,
     "op11_spelling": op11_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_prefix_trie": sql.OP13}
