@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwise.llm import (
     automata, decontaminate, lines, merkle, packing, perplexity, prefix_trie, run_index, secrets, simhash,
-    spelling, sql, wavelet,
+    spelling, sql, warc, wavelet,
 )
 from driftwise.llm.common import table, text_column
 
@@ -67,6 +67,11 @@ def op11_spelling(spark: SparkSession, root: str) -> DataFrame:
     return spelling.variants(table(spark, root, "documents"))
 
 
+def op12_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.archived(table(spark, root, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_prefix_trie(spark: SparkSession, root: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, root, "conversations"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_wavelet": op10_wavelet,
     "op11_spelling": op11_spelling,
+    "op12_warc": op12_warc,
     "op13_prefix_trie": op13_prefix_trie,
 }
-SQL: dict[str, str] = {"op13_prefix_trie": sql.OP13}
+SQL: dict[str, str] = {"op12_warc": sql.OP12, "op13_prefix_trie": sql.OP13}

@@ -38,3 +38,18 @@ SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children,
 FROM sized AS s JOIN above AS a USING (path) LEFT JOIN ends AS e USING (path)
 LEFT JOIN nodes AS p ON s.depth > 0 AND p.path = left(s.path, greatest(length(s.path) - 32, 0)) AND p.depth = s.depth - 1
 """
+
+OP12 = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (
+  SELECT page_id, html, hex, list_transform(range(8), lambda g: ('0x' || substr(hex, (5 * g + 1)::INT, 5))::BIGINT) AS parts,
+         max(page_id) OVER (PARTITION BY html) AS top, count(*) OVER (PARTITION BY html) AS n
+  FROM hashed)
+SELECT page_id, strlen(html) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((parts[(i // 4 + 1)::INT] >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM coded
+"""
