@@ -74,7 +74,7 @@ def _hits(worded: DataFrame, sought: DataFrame, size: int, broadcast: bool) -> D
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Every row's key, n_words, n_hit, items (sorted strings)."""
+    """docs with __dw_words (their number), __dw_hit (words inside windows) and __dw_items (sorted strings) beside them."""
     sought = saved(windows(benchmark, size), "windows")
     facts = sought.agg(
         F.count("*").alias("rows"),
@@ -86,24 +86,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     for n in sorted(facts.sizes):
         part = _hits(worded, sought, n, broadcast)
         hits = part if hits is None else hits.unionByName(part)
-    every = keyed(docs).withColumn("n_words", F.size(_words(text_column(docs))).cast("long"))
+    every = keyed(docs).withColumn("__dw_words", F.size(_words(text_column(docs))).cast("long"))
+    none = F.array().cast("array<string>")
     if hits is None:
-        return every.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
+        return every.withColumns({"__dw_hit": F.lit(0).cast("long"), "__dw_items": none})
     before = f"max(at + n) over (partition by {ID}, {HASH} order by at, n, item rows between unbounded preceding and 1 preceding)"
     per = hits.distinct().withColumn("reached", F.coalesce(F.expr(before), F.lit(0))).groupBy(ID, HASH).agg(
-        F.sum(F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", "reached"))).alias("n_hit"),
-        F.sort_array(F.collect_set("item")).alias("items"))
+        F.sum(F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", "reached"))).alias("__dw_hit"),
+        F.sort_array(F.collect_set("item")).alias("__dw_items"))
     return every.join(per, [ID, HASH], "left").withColumns({
-        "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
-        "items": F.coalesce("items", F.array().cast("array<string>"))})
+        "__dw_hit": F.coalesce("__dw_hit", F.lit(0)).cast("long"), "__dw_items": F.coalesce("__dw_items", none)})
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return contamination(docs.select("doc_id", "text"), benchmark, size).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        "doc_id", F.col("__dw_words").alias("n_words"), F.col("__dw_hit").alias("n_hit"),
+        F.size("__dw_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__dw_items", ","), 256).alias("items_sha256"), (F.col("__dw_hit") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
-    return contamination(docs, benchmark, size).filter("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return contamination(docs, benchmark, size).filter("__dw_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])

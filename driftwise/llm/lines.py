@@ -37,36 +37,47 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(key, starts): the first lines of each document's windows that occurred before."""
+    """(key, __dw_starts): the first lines of each document's windows that occurred before."""
     found = windows(docs, size)
     firsts = found.groupBy("h1", "h2").agg(
         F.min(F.struct(ID, HASH, "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(firsts, ["h1", "h2"]).filter(F.struct(ID, HASH, "at") > F.col("first"))
-    return later.groupBy(ID, HASH).agg(F.collect_set("at").alias("starts"))
+    return later.groupBy(ID, HASH).agg(F.collect_set("at").alias("__dw_starts"))
 
 
-def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs with the repeated lines taken out of text, and n_lines, n_removed, n_spans beside it."""
+def _deduped(docs: DataFrame, size: int) -> DataFrame:
+    """docs with the repeated lines taken out of text, and __dw_lines, __dw_removed, __dw_spans beside it."""
     marked = keyed(docs).join(repeated(docs, size), [ID, HASH], "left")
-    lined = marked.withColumn("__dw_lines", F.split(text_column(marked), "\n", -1)).withColumn(
+    lined = marked.withColumn("__dw_each", F.split(text_column(marked), "\n", -1)).withColumn(
         "__dw_gone", F.array_distinct(F.flatten(F.transform(
-            F.coalesce("starts", F.array().cast("array<int>")),
+            F.coalesce("__dw_starts", F.array().cast("array<int>")),
             lambda s: F.sequence(s, s + (size - 1))))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__dw_lines") - 1), F.col("__dw_gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__dw_each") - 1), F.col("__dw_gone"))
     ends = F.transform("__dw_gone", lambda i: i + 1)
     text = F.when(F.size("__dw_gone") == 0, F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get("__dw_lines", i)), "\n"))
+        F.array_join(F.transform(kept, lambda i: F.get("__dw_each", i)), "\n"))
     return lined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size("__dw_lines").cast("long").alias("n_lines"),
-        F.size("__dw_gone").cast("long").alias("n_removed"),
-        F.size(F.array_except(F.col("__dw_gone"), ends)).cast("long").alias("n_spans"))
+        F.size("__dw_each").cast("long").alias("__dw_lines"),
+        F.size("__dw_gone").cast("long").alias("__dw_removed"),
+        F.size(F.array_except(F.col("__dw_gone"), ends)).cast("long").alias("__dw_spans"))
+
+
+def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs with the repeated lines taken out of text, and n_lines, n_removed, n_spans beside it.
+
+    Columns of docs that have these three names give way to them.
+    """
+    counts = ("n_lines", "n_removed", "n_spans")
+    return _deduped(docs, size).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in counts],
+        *[F.col(f"__dw_{c.removeprefix('n_')}").alias(c) for c in counts])
 
 
 def dedup_documents(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs, columns unchanged, with the repeated lines taken out of text and n_chars to match."""
-    kept = dedup_lines(docs, size)
+    kept = _deduped(docs, size)
     if "n_chars" in docs.columns:
-        counted = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        counted = F.when(F.col("__dw_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         kept = kept.withColumn("n_chars", F.coalesce(counted, F.col("n_chars")))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

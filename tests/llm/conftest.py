@@ -11,15 +11,22 @@ SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("spans", T.StringType()),
     T.StructField("n", T.LongType()), T.StructField("h", T.LongType()), T.StructField("at", T.StringType()),
     T.StructField("fp", T.StringType()), T.StructField("words", T.StringType()), T.StructField("slice", T.StringType()),
+    T.StructField("starts", T.StringType()), T.StructField("n_lines", T.StringType()), T.StructField("n_removed", T.StringType()),
+    T.StructField("n_spans", T.StringType()), T.StructField("n_words", T.StringType()), T.StructField("n_hit", T.StringType()),
+    T.StructField("items", T.StringType()), T.StructField("bits", T.StringType()), T.StructField("root", T.StringType()),
 ])
 
 
+#: Values of the last columns, which no operator may change.
+OWN = ("e", "f", "g", "h", "i", "j", "k", "l", "m")
+
+
 @pytest.fixture(scope="session")
 def frame(spark):
     """A documents table of (doc_id, text) pairs, with further columns of clashing names."""
 
     def make(rows, parts=3):
-        full = [(i, t, "en", "src", None if t is None else len(t), "x", "y", "z", 1, 2, "a", "b", "c", "d") for i, t in rows]
+        full = [(i, t, "en", "src", None if t is None else len(t), "x", "y", "z", 1, 2, "a", "b", "c", "d", *OWN) for i, t in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(parts)
 
     return make
