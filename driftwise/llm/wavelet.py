@@ -13,13 +13,15 @@ are not read.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,8 +33,8 @@ MAGIC = b"DWM1"
 END = 0
 #: A shard is closed when it holds this many tokens.
 SHARD_TOKENS = 1 << 20
-#: Entries of a worker's memory of encoded pieces, and the longest piece it keeps.
-MEMORY, PIECE = 1 << 17, 64
+#: Bytes of text that are encoded at once, and distinct pieces that are handed to the library as one string.
+TEXT_BYTES, JOINED = 1 << 23, 512
 
 
 class WaveletMatrix:
@@ -155,41 +157,118 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
         length, planes, zeros.tolist())
 
 
-class Encoder:
-    """Encodes with the library, each distinct piece once while it is remembered.
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """The library's tokenizer, the bytes of each id and the added tokens, once in a worker; Spark's tasks are its threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    A single space between two other characters always begins a token of its own run,
-    so the pieces between such spaces can be encoded apart.
+    library = Tokenizer.from_file(path)
+    sizes = np.zeros(library.get_vocab_size(), np.int64)
+    for token, number in library.get_vocab().items():
+        sizes[number] = len(token)
+    return library, sizes, [t.content for t in library.get_added_tokens_decoder().values()]
+
+
+#: What a byte is: 1 white space that may begin a piece, 2 ASCII letter or digit, 3 other visible ASCII character.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 3
+KIND[[9, 10, 13, 32]] = 1
+KIND[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 2
+
+
+def _solid(last: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Whether bytes that end with these surely end no white space.
+
+    White space of several bytes begins with C2, E1, E2 or E3; no character that does counts as solid.
     """
+    return (last > 32) & (second != 0xC2) & ~((last >= 0x80) & (second >= 0x80) & (third >= 0xE1) & (third <= 0xE3))
+
 
-    BREAK = re.compile(r"(?<=\S) (?=\S)")
+def _begins(data: np.ndarray) -> np.ndarray:
+    """Where a token must begin: at white space behind a solid character, at a mark behind a letter or digit."""
+    last, second, third = (np.concatenate([np.zeros(k, np.uint8), data[:-k]])[:len(data)] for k in (1, 2, 3))
+    kind = KIND[data]
+    word = (KIND[last] == 2) | ((second == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    return ((kind == 1) & _solid(last, second, third)) | ((kind == 3) & word)
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.library, self.memory = Tokenizer.from_file(path), {}
+def _inner(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which pieces begin with white space and end with a solid character, so that they may stand in a row."""
+    last = [np.where(offsets[1:] - k >= offsets[:-1], data[np.maximum(offsets[1:] - k, 0)], 0) for k in (1, 2, 3)]
+    return (KIND[data[offsets[:-1]]] == 1) & _solid(*last)
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        first, *rest = self.BREAK.split(text)
-        memory = self.memory
-        new = [p for p in set(rest) if p not in memory]
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list(set(rest))
-        found = self._encoded([first, *[" " + p for p in new]])
-        fresh = dict(zip(new, found[1:], strict=True))
-        memory.update((p, e) for p, e in fresh.items() if len(p) <= PIECE)
-        return np.frombuffer(found[0] + b"".join([fresh[p] if p in fresh else memory[p] for p in rest]), "<u4")
+def _several(library, sizes: np.ndarray, pieces: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ids of inner pieces, encoded some hundreds in a row and cut by their bytes."""
+    offsets, data = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1), pieces.buffers()[2]
+    cuts = list(range(0, len(pieces), JOINED)) + [len(pieces)]
+    joined = [data[offsets[a]:offsets[b]].to_pybytes().decode() for a, b in zip(cuts, cuts[1:])]
+    found = [np.array(e.ids, np.uint32) for e in library.encode_batch_fast(joined, add_special_tokens=False)]
+    counts = np.zeros(len(pieces), np.int64)
+    for ids, a, b in zip(found, cuts, cuts[1:], strict=False):
+        reached, ends = np.cumsum(sizes[ids]), offsets[a + 1:b + 1] - offsets[a]
+        at = np.searchsorted(reached, ends)
+        if not np.array_equal(reached[at], ends):
+            raise ValueError("a token goes over the end of a piece")
+        counts[a:b] = np.diff(at + 1, prepend=0)
+    return found, counts
+
+
+def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts in a row, and their number per text.
+
+    Texts are cut where a token must begin (those with an added token's characters are
+    not), equal pieces are merged, and each distinct piece is encoded once; nothing is
+    remembered from one call to the next.
+    """
+    library, sizes, added = tokenizer(path)
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    bounds, whole = bounds - bounds[0], texts.buffers()[2].slice(bounds[0]) if len(texts) and bounds[-1] > bounds[0] else b""
+    data = np.frombuffer(whole, np.uint8)[:bounds[-1]]
+    if not len(data):
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    begins = _begins(data)
+    for token in added:
+        for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)):
+            begins[bounds[i]:bounds[i + 1]] = False
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [
+        None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+    known, which = pieces.dictionary, pieces.indices.to_numpy()
+    offsets = np.frombuffer(known.buffers()[1], np.int64, len(known) + 1)
+    held = np.frombuffer(known.buffers()[2], np.uint8)
+    inner = _inner(held, offsets)
+    counts = np.zeros(len(known), np.int64)
+    some = known.filter(pa.array(inner))
+    many, counts[inner] = _several(library, sizes, some) if len(some) else ([], 0)
+    others = [np.array(e.ids, np.uint32) for e in library.encode_batch_fast(
+        known.filter(pa.array(~inner)).to_pylist(), add_special_tokens=False)]
+    counts[~inner] = [len(o) for o in others]
+    flat = np.concatenate([np.zeros(0, np.uint32), *many, *others])
+    place = np.empty(len(known), np.int64)
+    order = np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)])
+    place[order] = np.cumsum(counts[order]) - counts[order]
+    n = counts[which]
+    ids = flat[np.arange(n.sum()) + np.repeat(place[which] - (np.cumsum(n) - n), n)]
+    of = np.searchsorted(bounds, starts, "right") - 1
+    return ids, np.bincount(of, n, len(texts)).astype(np.int64)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``TEXT_BYTES`` of text, one text at least."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _shards(path: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
         end = np.array([END], np.uint32)
         docs, lengths, parts, held, place, number = [], [], [], 0, None, 0
 
@@ -199,17 +278,18 @@ def _shards(path: str, shard_tokens: int):
                 "n_tokens": pa.array([held], pa.int64()),
                 "file": pa.array([to_file(docs, lengths, np.concatenate(parts))], pa.binary())})
 
-        for batch in batches:
-            for where, doc, text in zip(*[batch.column(c) for c in ("slice", "doc_id", "text")], strict=True):
-                if docs and (held >= shard_tokens or where.as_py() != place):
+        for batch in (part for whole in batches for part in _parts(whole)):
+            every, counts = encode(path, batch.column("text"))
+            each = np.split(every, np.cumsum(counts)[:-1])
+            for where, doc, ids in zip(batch.column("slice").to_pylist(), batch.column("doc_id").to_pylist(), each, strict=True):
+                if docs and (held >= shard_tokens or where != place):
                     yield shard()
                     docs, lengths, parts, held, number = [], [], [], 0, number + 1
-                place = where.as_py()
-                ids = np.concatenate([encode(text.as_py()), end])
-                docs.append(doc.as_py())
-                lengths.append(len(ids))
-                parts.append(ids)
-                held += len(ids)
+                place = where
+                docs.append(doc)
+                lengths.append(len(ids) + 1)
+                parts += [ids, end]
+                held += len(ids) + 1
         if docs:
             yield shard()
 
