@@ -381,3 +381,33 @@ def test_pipeline_stages(spark, frame, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{number}")
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert 0 < whole.count() == out.count() and {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_leave_columns_of_clashing_names_as_they_are(spark, frame, tmp_path):
+    rows = prose(19)
+    own = [f.name for f in SCHEMA][5:]
+    spark.createDataFrame([(i, 1, 0) for i, t in rows if i is not None and t], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, next(t for _, t in rows if t and len(t.split()) > 50))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(rows)
+    want = {tuple(r) for r in docs.select(own).distinct().collect()}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {tuple(r) for r in out.select(own).distinct().collect()} == want
+    told = lines.dedup_lines(docs)
+    assert told.columns[-3:] == ["n_lines", "n_removed", "n_spans"] and told.columns.count("n_spans") == 1
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() >= len(rows)
+
+
+def test_pieces_encode_as_whole_texts_do():
+    import pyarrow as pa
+
+    library = wavelet.tokenizer(TOKENIZER)[0]
+    r = random.Random(23)
+    some = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 ᠎   　​﻿", *"abZé×÷ñßж中の。“”'’.,!-_09²½٣",
+            "'s", "'ll", "<|endoftext|>", "  ", "\n\n", " the", "re", "😀", "́"]
+    for _ in range(400):
+        batch = ["".join(r.choice(some) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 5))]
+        ids, counts = wavelet.encode(TOKENIZER, pa.array(["before", *batch]).slice(1))
+        want = [e.ids for e in library.encode_batch_fast(batch, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in wavelet.encode(TOKENIZER, pa.array([], pa.string()))] == [0, 0]
