@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftwise import config
 from driftwise.config import PETROLEUM, POWER, RETAIL, UK_RETAIL, Kpi
 from driftwise.functions.columns import day_text, severity_rank
-from driftwise.operators import detection, lineage, metrics
+from driftwise.operators import detection, folding, lineage, metrics
 from driftwise.plans.registry import job
 from driftwise.sources.estate import LATE_CLOCK_REGION, Estate
 
@@ -461,14 +461,6 @@ def edges(e: Estate) -> DataFrame:
     return e.spark.createDataFrame(rows, "child string, parent string")
 
 
-def ancestry() -> dict[str, set[str]]:
-    """Every contract's ancestors; contracts are configuration, a few dozen at most."""
-    def above(kpi_id: str) -> set[str]:
-        parents = set(RETAIL[kpi_id].parents)
-        return parents.union(*(above(p) for p in parents)) if parents else parents
-    return {k: above(k) for k in RETAIL}
-
-
 @job("kpi_closure")
 def kpi_closure(e: Estate) -> DataFrame:
     """How many findings of each metric could fold into each of its ancestors."""
@@ -479,7 +471,7 @@ def kpi_closure(e: Estate) -> DataFrame:
 
 @job("folded_findings")
 def folded_findings(e: Estate) -> DataFrame:
-    out = detection.fold(findings(e), ancestry())
+    out = folding.fold(findings(e), detection.ancestors(edges(e)))
     return rounded(out.select(
         "region", "kpi_id", "direction", day_text("start").alias("start"),
         day_text("end").alias("end"), "impact",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on for right results (UTC) or for skew and sizing.
 RUNTIME_CONF = {
@@ -63,3 +64,10 @@ def shared_folder(spark: SparkSession) -> str:
         _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="driftwise-")
         spark.sparkContext.setCheckpointDir(_OWN_FOLDERS[app])
     return _OWN_FOLDERS[app]
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read from there, as one round of a loop hands it to the next."""
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

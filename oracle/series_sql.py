@@ -201,6 +201,21 @@ VIEWS = {
     "v_edges": f"SELECT * FROM (VALUES {EDGES}) t(child, parent)",
     "v_up": """SELECT child AS kpi_id, parent AS ancestor FROM v_edges
         UNION SELECT v_up.kpi_id, e.parent FROM v_up JOIN v_edges e ON e.child = v_up.ancestor""",
+    # One finding after the other, in each region: the members so far, each with its event's number.
+    "v_ranked": """SELECT f.*, row_number() OVER (PARTITION BY region ORDER BY impact DESC, f.kpi_id, start_day, end_day, direction) AS n,
+        (SELECT list(DISTINCT o) FROM (SELECT ancestor AS o FROM v_up WHERE kpi_id = f.kpi_id
+           UNION SELECT kpi_id FROM v_up WHERE ancestor = f.kpi_id)) AS kin
+        FROM v_findings f""",
+    "v_walk": """SELECT DISTINCT region, 0::BIGINT AS at, []::STRUCT(n BIGINT, k VARCHAR, s DATE, e DATE, g BIGINT)[] AS held
+        FROM v_ranked
+        UNION ALL SELECT w.region, f.n, list_append(w.held, {'n': f.n, 'k': f.kpi_id, 's': f.start_day, 'e': f.end_day,
+          'g': coalesce(list_min(list_filter(
+             list_transform(list_filter(w.held, lambda m: m.s <= f.end_day AND f.start_day <= m.e
+               AND coalesce(list_contains(f.kin, m.k), false)), lambda m: m.g),
+             lambda x: NOT list_contains(list_transform(list_filter(w.held, lambda m: m.k = f.kpi_id), lambda m: m.g), x))), f.n)})
+        FROM v_walk w JOIN v_ranked f ON f.region = w.region AND f.n = w.at + 1""",
+    "v_events": """SELECT region, unnest(held, recursive := true) FROM v_walk w
+        WHERE w.at = (SELECT max(x.at) FROM v_walk x WHERE x.region = w.region)""",
 }
 
 ANSWERS = {
@@ -322,6 +337,14 @@ ANSWERS = {
         ORDER BY v_findings.impact DESC, kpi_id, region, start_day LIMIT 12""",
     "kpi_closure": """SELECT kpi_id, ancestor, coalesce(n, 0) AS findings FROM v_up
         LEFT JOIN (SELECT kpi_id, count(*) AS n FROM v_findings GROUP BY kpi_id) USING (kpi_id)""",
+    "folded_findings": """SELECT region, kpi_id, direction, strftime(start_day, '%Y-%m-%d') AS start,
+        strftime(end_day, '%Y-%m-%d') AS "end", round(impact, 2) AS impact, coalesce(also_moved, '') AS also_moved
+        FROM (SELECT f.*, row_number() OVER (PARTITION BY region, g ORDER BY
+                (SELECT count(DISTINCT ancestor) FROM v_up u WHERE u.kpi_id = f.kpi_id), f.n) AS place,
+              string_agg(f.kpi_id, ',' ORDER BY f.kpi_id) OVER (PARTITION BY region, g
+                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS also_moved
+              FROM v_ranked f JOIN (SELECT region, n, g FROM v_events) USING (region, n))
+        WHERE place = 1""",
     "expected_direction": """SELECT finding_id, round(nullif(sum(value - expected), 0), 3) AS gap
         FROM (SELECT kpi_id || '|' || region || '|' || direction || '|' || strftime(start_day, '%Y-%m-%d')
                      AS finding_id, kpi_id, region, start_day, end_day FROM v_findings) f

@@ -115,19 +115,6 @@ def test_gaps_of_two_days_join_and_three_split(spark):
     assert found[0].impact == pytest.approx(40.0)
 
 
-def test_children_fold_into_the_parent(spark):
-    d = dt.date(2022, 1, 1)
-    rows = [("net_revenue", "drop", d, d, 50.0, "North"), ("orders", "drop", d, d, 90.0, "North"),
-            ("orders", "drop", dt.date(2022, 3, 1), dt.date(2022, 3, 2), 10.0, "North"),
-            ("orders", "drop", d, d, 90.0, "South")]
-    found = spark.createDataFrame(
-        rows, "kpi_id string, direction string, start date, end date, impact double, region string")
-    kept = detection.fold(found, {"orders": {"net_revenue"}, "net_revenue": set()}).collect()
-    assert len(kept) == 3
-    head = next(r for r in kept if r.kpi_id == "net_revenue")
-    assert head.also_moved == ["orders"]
-
-
 def test_closure_reaches_grandparents(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a")], "child string, parent string")
     assert {tuple(r) for r in detection.ancestors(edges).collect()} == {("c", "b"), ("c", "a"), ("b", "a")}
