@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftwise import config
 from driftwise.config import PETROLEUM, POWER, RETAIL, UK_RETAIL, Kpi
 from driftwise.functions.columns import day_text, severity_rank
-from driftwise.operators import detection, folding, lineage, metrics
+from driftwise.operators import detection, folding, lineage, metrics, seasons
 from driftwise.plans.registry import job
 from driftwise.sources.estate import LATE_CLOCK_REGION, Estate
 
@@ -389,12 +389,24 @@ def robust_z(e: Estate) -> DataFrame:
     return stamped(rounded(out, 5, "centre", "mad", "z"), "ts")
 
 
+def fitted_lines(e: Estate) -> DataFrame:
+    """Every series decomposed by local regression at its own grain, kept as a stage."""
+    wanted = ("kpi_id", "region", "ts", "log_trend", "log_season", "season_short", "season_long", "expected", "z")
+
+    def at(series: DataFrame, grain: str) -> DataFrame:
+        short, long = (f"season_{p}" for p in seasons.SEASONS[grain])
+        return detection.loess_baseline(series, grain).withColumns(
+            {"season_short": F.col(short), "season_long": F.col(long)}).select(*wanted)
+
+    return e.stage("fitted_lines", lambda: at(day_series(e), "day").unionByName(at(hour_series(e), "hour")))
+
+
 @job("loess_baseline")
 def loess_baseline(e: Estate) -> DataFrame:
-    """The LOESS fit of every daily series, beside the built-in estimate."""
-    out = detection.loess_baseline(day_series(e), "day").select(
-        "kpi_id", "region", "ts", "log_trend", "log_season", "z")
-    return stamped(rounded(out, 6, "log_trend", "log_season", "z"), "ts")
+    """The local regression of every daily and hourly series, with both of its seasons."""
+    numbers = ("log_trend", "log_season", "season_short", "season_long", "log_expected", "z")
+    out = fitted_lines(e).withColumn("log_expected", F.log("expected")).drop("expected")
+    return stamped(rounded(out, 5, *numbers), "ts")
 
 
 @job("noise_profile")

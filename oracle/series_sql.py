@@ -114,7 +114,78 @@ def baseline_sql(source, period, phase):
         ) WHERE rows_held >= {need}))))))))))"""
 
 
+def mean_sql(column, period):
+    over = "avg({}) OVER (PARTITION BY kpi_id, region ORDER BY pos RANGE BETWEEN {} PRECEDING AND {} FOLLOWING)"
+    half = period // 2
+    if period % 2:
+        return over.format(column, half, half)
+    return f"({over.format(column, half, half - 1)} + {over.format(column, half - 1, half)}) / 2"
+
+
+def line_sql(view, x, y, reach, same):
+    """(kpi_id, region, pos, fit): every reading joined to those within reach."""
+    return f"""SELECT kpi_id, region, pos, CASE WHEN s0 * s2 - s1 * s1 > 1e-9
+                 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS fit
+        FROM (SELECT kpi_id, region, pos, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1
+              FROM (SELECT a.kpi_id, a.region, a.pos, (b.{x} - a.{x})::DOUBLE AS d, b.{y} AS y,
+                           pow(1 - pow(abs(b.{x} - a.{x}) / {reach + 1}.0::DOUBLE, 3), 3) AS w
+                    FROM {view} a JOIN {view} b ON {' AND '.join(f'a.{c} = b.{c}' for c in ('kpi_id', 'region', *same))}
+                      AND b.{x} BETWEEN a.{x} - {reach} AND a.{x} + {reach})
+              GROUP BY ALL)"""
+
+
+def fitted_views(grain, periods, unit):
+    """Views of a decomposition by local lines: seasons in turn, twice, then the trend."""
+    short, long = periods
+    views = {f"v_fit_{grain}_0": f"""
+        SELECT s.*, raw_log - b.beta * ln(festival) AS level, raw_log - b.beta * ln(festival) AS rest, b.beta,
+               date_diff('{unit}', TIMESTAMP '1970-01-01', ts) AS pos, count(*) OVER (PARTITION BY kpi_id, region) AS rows_held,
+               0.0::DOUBLE AS season_{short}, 0.0::DOUBLE AS season_{long}
+        FROM v_logged_{grain} s JOIN v_beta b USING (kpi_id, region)"""}
+    step = 0
+    for period in (short, long) * 2:
+        before, name = f"v_fit_{grain}_{step}", f"season_{period}"
+        step += 1
+        views[f"v_swing_{grain}_{step}"] = f"""
+            SELECT kpi_id, region, pos, pos % {period} AS phase, pos // {period} AS cycle,
+                   rest + {name} - {mean_sql(f'rest + {name}', period)} AS swing FROM {before}"""
+        views[f"v_raw_{grain}_{step}"] = line_sql(f"v_swing_{grain}_{step}", "cycle", "swing", 5, ("phase",))
+        views[f"v_season_{grain}_{step}"] = f"""
+            SELECT kpi_id, region, pos, fit - {mean_sql('fit', period)} AS fit FROM v_raw_{grain}_{step}"""
+        views[f"v_fit_{grain}_{step}"] = f"""
+            SELECT * EXCLUDE (fit) REPLACE (CASE WHEN rows_held >= {4 * period} THEN fit ELSE 0.0 END AS {name},
+                              rest + {name} - CASE WHEN rows_held >= {4 * period} THEN fit ELSE 0.0 END AS rest)
+            FROM {before} JOIN v_season_{grain}_{step} USING (kpi_id, region, pos)"""
+    last = f"v_fit_{grain}_{step}"
+    views[f"v_trend_{grain}"] = f"""
+        SELECT f.*, season_{short} AS season_short, season_{long} AS season_long, season_{short} + season_{long} AS log_season,
+               CASE WHEN rows_held >= {4 * long} THEN l.fit ELSE s.fit END AS log_trend
+        FROM {last} f JOIN ({line_sql(last, 'pos', 'rest', 2 * short, ())}) s USING (kpi_id, region, pos)
+        JOIN ({line_sql(last, 'pos', 'rest', 2 * long, ())}) l USING (kpi_id, region, pos)
+        WHERE rows_held >= {max(60, 4 * short)}"""
+    return views
+
+
+def scored_sql(parts):
+    """Robust scores from level, log_trend, log_season, festival and beta."""
+    whole = "OVER (PARTITION BY kpi_id, region)"
+    return f"""
+        SELECT *, (residual - centre) / (CASE WHEN mad > 0 THEN mad / 0.6745 ELSE greatest(spread, 1e-6) END
+                    * CASE WHEN typical > 0 THEN se / typical ELSE 1.0 END) AS z
+        FROM (SELECT *, median(se) {whole} AS typical
+        FROM (SELECT *, CASE WHEN n IS NULL THEN 1.0
+                   WHEN proportion THEN sqrt((1.0 - least(greatest(expected, 1e-9), 1.0 - 1e-9))
+                        / (greatest(n, 1e-9) * least(greatest(expected, 1e-9), 1.0 - 1e-9)))
+                   ELSE 1.0 / sqrt(greatest(n, 1e-9)) END AS se
+        FROM (SELECT *, median(abs(residual - centre)) {whole} AS mad, stddev_pop(residual) {whole} AS spread,
+                     exp(log_trend + log_season + centre) * pow(festival, beta) AS expected
+        FROM (SELECT *, median(residual) {whole} AS centre
+        FROM (SELECT *, level - log_trend - log_season AS residual FROM ({parts}))))))"""
+
+
 VIEWS = {
+    **fitted_views("day", (7, 365), "day"),
+    **fitted_views("hour", (24, 168), "hour"),
     "v_peaks": f"SELECT * FROM (VALUES {PEAKS}) t(peak, weight)",
     "v_festival": """
         SELECT day, list_reduce(list_transform(list_sort(list({'p': peak, 'e': effect})), lambda x: x.e),
@@ -307,6 +378,9 @@ ANSWERS = {
         round(log_season, 6) AS log_season, round(residual, 6) AS residual FROM v_scored""",
     "robust_z": f"""SELECT kpi_id, region, {TS.format('ts')}, round(centre, 5) AS centre,
         round(mad, 5) AS mad, round(z, 5) AS z FROM v_scored""",
+    "loess_baseline": " UNION ALL ".join(f"""SELECT kpi_id, region, {TS.format('ts')}, round(log_trend, 5) AS log_trend,
+        round(log_season, 5) AS log_season, round(season_short, 5) AS season_short, round(season_long, 5) AS season_long,
+        round(ln(expected), 5) AS log_expected, round(z, 5) AS z FROM ({scored_sql(f'SELECT * FROM v_trend_{grain}')})""" for grain in ("day", "hour")),
     "noise_profile": f"""SELECT kpi_id, region, {TS.format('ts')}, round(noise, 6) AS noise,
         round(scale, 6) AS scale FROM v_scored WHERE n IS NOT NULL""",
     "expected_band": f"""SELECT kpi_id, region, {TS.format('ts')}, round(expected, 4) AS expected,

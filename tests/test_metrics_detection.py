@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwise.config import RETAIL, Kpi
-from driftwise.functions.loess import decompose, loess
 from driftwise.operators import detection, metrics
 from driftwise.operators.lineage import PolicyError
 
@@ -120,16 +119,6 @@ def test_closure_reaches_grandparents(spark):
     assert {tuple(r) for r in detection.ancestors(edges).collect()} == {("c", "b"), ("c", "a"), ("b", "a")}
 
 
-def test_loess_is_exact_on_a_line_and_seasons_are_found():
-    line = 3 + 0.5 * np.arange(40)
-    assert np.allclose(loess(line, 11), line)
-    t = np.arange(280)
-    y = 0.01 * t + np.tile([1.0, 0, 0, 0, 0, 0, -1.0], 40)
-    trend, season = decompose(y, 7, 29)
-    assert np.allclose(season[50:57] - season[50:57].mean(), y[50:57] - 0.01 * t[50:57], atol=0.05)
-    assert np.allclose(np.diff(trend[40:240]).mean(), 0.01, atol=0.002)
-
-
 def test_plan_holds_until_replaced(spark):
     facts = spark.createDataFrame([("N", dt.date(2022, 1, d), 2.0, 10.0) for d in (1, 4, 9)],
                                   "region string, d date, units double, revenue double")
