@@ -147,28 +147,6 @@ def abstentions(diagnoses: DataFrame, verdicts: DataFrame, slices: DataFrame) ->
 MIN_OUTCOMES = 40
 
 
-def calibrated(outcomes: DataFrame) -> DataFrame | None:
-    """Scores mapped to probabilities by isotonic regression, or None.
-
-    None when there are too few outcomes, only one class, or the curve does not
-    lower the Brier score. The raw score stays beside the probability.
-    """
-    from pyspark.ml.regression import IsotonicRegression
-
-    labelled = outcomes.select("case_id", F.col("confidence").cast("double").alias("confidence"),
-                               F.col("correct").cast("double").alias("label"))
-    counts = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes")).first()
-    if counts["n"] < MIN_OUTCOMES or counts["classes"] < 2:
-        return None
-    model = IsotonicRegression(featuresCol="confidence", labelCol="label",
-                               predictionCol="probability").fit(labelled)
-    fitted = model.transform(labelled)
-    gain = fitted.agg(
-        F.avg(F.pow(F.col("confidence") - F.col("label"), 2)).alias("before"),
-        F.avg(F.pow(F.col("probability") - F.col("label"), 2)).alias("after")).first()
-    return fitted if gain["after"] <= gain["before"] else None
-
-
 def brier(outcomes: DataFrame) -> DataFrame:
     correct = F.when(F.col("correct"), 1.0).otherwise(0.0)
     return outcomes.agg(F.count(F.lit(1)).alias("n"),

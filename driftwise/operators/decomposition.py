@@ -181,34 +181,47 @@ RIDGE = "key string, driver string, coefficient double, observations bigint"
 
 
 def ridge(moments: DataFrame, key: str, drivers: Sequence[str], alpha: float = 1.0,
-          floor: float = 0.02, min_rows: int = 14) -> DataFrame:
-    """Standardised ridge coefficients from the moments, one small solve per row.
+          floor: float = 0.02, min_rows: int = 14, rejected: DataFrame | None = None) -> DataFrame:
+    """Standardised ridge coefficients from the moments, by a Cholesky factor in columns.
 
     With x scaled by its sample and y by its population deviation, the normal
-    equations are (n-1) R + alpha I and sqrt(n (n-1)) r.
+    equations are (n-1) R + alpha I and sqrt(n (n-1)) r. Drivers that do not vary, and
+    those that ``rejected`` (key, driver) names, leave the fit: their line of the
+    equations is that of the unit matrix.
     """
-    import numpy as np
-    import pandas as pd
-
-    names = list(drivers)
-
-    def solve(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                kept = [i for i in range(len(names)) if row[f"s_{i}"] and row[f"s_{i}"] > 0]
-                n = row["n"]
-                if n < min_rows or not row["s_y"] or not kept:
-                    continue
-                corr = np.array([[1.0 if i == j else row[f"r_{min(i, j)}_{max(i, j)}"]
-                                  for j in kept] for i in kept])
-                right = np.array([row[f"r_y_{i}"] for i in kept]) * np.sqrt(n * (n - 1.0))
-                beta = np.linalg.solve((n - 1.0) * corr + alpha * np.eye(len(kept)), right)
-                out += [{"key": row[key], "driver": names[i], "coefficient": float(b),
-                         "observations": int(n)} for i, b in zip(kept, beta) if abs(b) >= floor]
-            yield pd.DataFrame(out, columns=["key", "driver", "coefficient", "observations"])
-
-    return moments.mapInPandas(solve, RIDGE)
+    names, size = list(drivers), range(len(drivers))
+    frame = moments.withColumn("barred", F.array().cast("array<string>"))
+    if rejected is not None:
+        barred = rejected.groupBy(key).agg(F.collect_set("driver").alias("found"))
+        frame = moments.join(barred, key, "left").withColumn("barred", F.coalesce("found", F.array().cast("array<string>")))
+    frame = frame.filter((F.col("n") >= min_rows) & (F.col("s_y") > 0)).withColumns({
+        f"kept_{i}": F.coalesce(F.col(f"s_{i}") > 0, F.lit(False)) & ~F.array_contains("barred", names[i]) for i in size})
+
+    def cell(i: int, j: int) -> Column:
+        if i == j:
+            return F.when(F.col(f"kept_{i}"), F.col("n") - 1.0 + alpha).otherwise(F.lit(1.0))
+        return F.when(F.col(f"kept_{i}") & F.col(f"kept_{j}"), (F.col("n") - 1.0) * F.col(f"r_{j}_{i}")).otherwise(F.lit(0.0))
+
+    for i in size:
+        for j in range(i + 1):
+            rest = cell(i, j)
+            for k in range(j):
+                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            frame = frame.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l_{j}_{j}"))
+    for i in size:
+        rest = F.when(F.col(f"kept_{i}"), F.col(f"r_y_{i}") * F.sqrt(F.col("n") * (F.col("n") - 1.0))).otherwise(F.lit(0.0))
+        for k in range(i):
+            rest = rest - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
+        frame = frame.withColumn(f"z_{i}", rest / F.col(f"l_{i}_{i}"))
+    for i in reversed(size):
+        rest = F.col(f"z_{i}")
+        for k in range(i + 1, len(names)):
+            rest = rest - F.col(f"l_{k}_{i}") * F.col(f"b_{k}")
+        frame = frame.withColumn(f"b_{i}", rest / F.col(f"l_{i}_{i}"))
+    told = F.array(*[F.struct(F.lit(names[i]).alias("driver"), F.col(f"b_{i}").alias("coefficient"),
+                              F.col(f"kept_{i}").alias("kept")) for i in size])
+    return frame.select(F.col(key).alias("key"), F.col("n").alias("observations"), F.explode(told).alias("t")).filter(
+        F.col("t.kept") & (F.abs("t.coefficient") >= floor)).select("key", "t.driver", "t.coefficient", "observations")
 
 
 def rank_drivers(coefficients: DataFrame, rejected: DataFrame | None = None,

@@ -10,6 +10,7 @@ from driftwise.functions.columns import day_text
 from driftwise.operators import candidates as cands
 from driftwise.operators import causal
 from driftwise.operators import decomposition as parts
+from driftwise.operators.actions import driver_of
 from driftwise.plans.registry import job
 from driftwise.plans.series_jobs import driver_path, findings, rounded
 from driftwise.sources.estate import Estate
@@ -125,10 +126,20 @@ def driver_corr(e: Estate) -> DataFrame:
 
 @job("rank_drivers")
 def rank_drivers(e: Estate) -> DataFrame:
-    fitted = parts.ridge(driver_moments(e), "region", DRIVERS)
+    """Drivers by their weight in each region's fit, without those that causal tests rejected there."""
+    fitted = parts.ridge(driver_moments(e), "region", DRIVERS, rejected=rejected_drivers(e))
     return rounded(parts.rank_drivers(fitted), 6, "coefficient")
 
 
+def rejected_drivers(e: Estate) -> DataFrame:
+    """(region, driver): some cause of the driver was rejected in the region and none verified."""
+    told = tested(e).withColumn("driver", driver_of(F.col("kind"), F.col("description"))).join(
+        cases(e).select("finding_id", F.col("region").alias("held")), "finding_id")
+    judged = told.filter("driver is not null").groupBy(F.col("held").alias("region"), "driver").agg(
+        F.count_if(F.col("state") == "rejected").alias("out"), F.count_if(F.col("state") == "verified").alias("held"))
+    return judged.filter("out > 0 and held = 0").select("region", "driver")
+
+
 # --- candidates -----------------------------------------------------------------------
 def skus(e: Estate) -> DataFrame:
     return e.table("part").select(F.col("p_brand").alias("sku")).distinct()

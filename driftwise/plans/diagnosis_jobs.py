@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftwise import config
 from driftwise.config import RETAIL
 from driftwise.functions.columns import day_text, pick
-from driftwise.operators import actions, confidence, detection, governance, lineage, signals
+from driftwise.operators import actions, calibration, confidence, detection, governance, lineage, signals
 from driftwise.operators import decomposition as parts
 from driftwise.plans.cause_jobs import (
     cases,
@@ -164,12 +164,28 @@ def calibration_bins(e: Estate) -> DataFrame:
     return rounded(confidence.calibration_bins(judged_outcomes(e)), 6, "mean_score", "accuracy")
 
 
+def split_of(e: Estate, name: str) -> DataFrame:
+    return judged_outcomes(e).filter(F.col("split") == name).select("case_id", "confidence", "correct")
+
+
+def probabilities(e: Estate) -> DataFrame:
+    """Outcomes held out from the fit, with the probability the others' curve gives them."""
+    return calibration.calibrated(split_of(e, "test"), split_of(e, "train"))
+
+
 @job("calibrated")
 def calibrated(e: Estate) -> DataFrame:
-    fitted = confidence.calibrated(judged_outcomes(e))
-    if fitted is None:
-        return judged_outcomes(e).select("case_id", "confidence", F.col("confidence").alias("probability"))
-    return rounded(fitted.select("case_id", "confidence", "probability"), 6, "probability")
+    return rounded(probabilities(e).select("case_id", "confidence", "probability"), 6, "probability")
+
+
+@job("calibration_gain")
+def calibration_gain(e: Estate) -> DataFrame:
+    """Squared errors of score and probability on outcomes that the curve was not fitted on."""
+    label = F.when(F.col("correct"), 1.0).otherwise(0.0)
+    out = probabilities(e).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("confidence") - label, 2)).alias("before"),
+        F.avg(F.pow(F.col("probability") - label, 2)).alias("after"))
+    return rounded(out, 6, "before", "after")
 
 
 @job("bench_metrics")

@@ -36,6 +36,43 @@ DRIVER_OF = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{d}'" for k, d in KIND_
                for d, w in NOTE_TO_DRIVER) + " END"
 
 
+LEVELS = ("realised_price", "marketing_spend", "planned_stock", "competitor_price_index")
+
+
+def solved_sql(source: str, size: int) -> str:
+    """The equations m x = b solved by clearing one column after the other."""
+    cells = [(i, j) for i in range(size) for j in range(size)]
+    for k in range(size):
+        lines = [f"CASE WHEN {i} = {k} THEN m{i}{j} ELSE m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} END AS m{i}{j}" for i, j in cells]
+        lines += [f"CASE WHEN {i} = {k} THEN b{i} ELSE b{i} - m{i}{k} * b{k} / m{k}{k} END AS b{i}" for i in range(size)]
+        keep = ", ".join(f"k{i}" for i in range(size))
+        source = f"(SELECT region, n, {keep}, {', '.join(lines)} FROM {source})"
+    return source
+
+
+def ridge_sql() -> str:
+    size = range(len(LEVELS))
+    corr = lambda a, b: f"corr({a}, {b})"
+    kept = ", ".join(
+        f"stddev_samp({d}) > 0 AND NOT coalesce(list_contains(any_value(out), '{d}'), false) AS k{i}" for i, d in enumerate(LEVELS))
+    raw = ", ".join([f"{corr(a, b)} AS r{i}{j}" for i, a in enumerate(LEVELS) for j, b in enumerate(LEVELS)]
+                    + [f"{corr(d, 'net')} AS y{i}" for i, d in enumerate(LEVELS)])
+    cells = ", ".join(
+        [f"CASE WHEN k{i} AND k{j} THEN {'n - 1 + 1.0::DOUBLE' if i == j else f'(n - 1) * r{i}{j}'} ELSE {'1.0::DOUBLE' if i == j else '0.0::DOUBLE'} END AS m{i}{j}"
+         for i in size for j in size]
+        + [f"CASE WHEN k{i} THEN y{i} * sqrt(n * (n - 1.0::DOUBLE)) ELSE 0.0::DOUBLE END AS b{i}" for i in size])
+    start = f"""(SELECT *, {cells} FROM (
+        SELECT d.region, count(*) AS n, {kept}, {raw} FROM v_driver_days d LEFT JOIN v_barred USING (region)
+        WHERE {' AND '.join(f'{d} IS NOT NULL' for d in LEVELS)} GROUP BY d.region HAVING count(*) >= 14 AND stddev_pop(net) > 0))"""
+    rows = " UNION ALL ".join(
+        f"SELECT region, n, '{d}' AS driver, b{i} / m{i}{i} AS coefficient FROM v_solved WHERE k{i}" for i, d in enumerate(LEVELS))
+    return f"""WITH v_solved AS (SELECT * FROM {solved_sql(start, len(LEVELS))})
+        SELECT region AS key, rank, 'associational' AS track, driver, round(coefficient, 6) AS coefficient,
+               n AS observations, 'hypothesis' AS state
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY region ORDER BY abs(coefficient) DESC, driver) AS INTEGER) AS rank
+              FROM ({rows}) WHERE abs(coefficient) >= 0.02) WHERE rank <= 6"""
+
+
 def grouped(value: str) -> str:
     return f"format('{{:,.0f}}', round(abs({value})))"
 
@@ -95,6 +132,33 @@ SENTENCES = ("The fall was caused by {c}, worth {n}.", "{c} moved first and led
 
 VIEWS = {
     "v_verified": "SELECT * FROM v_verdicts WHERE state = 'verified'",
+    "v_barred": f"""
+        SELECT region, list(driver) AS out FROM (
+          SELECT c.region, {DRIVER_OF} AS driver FROM v_verdicts v JOIN (SELECT finding_id, region FROM v_cases) c USING (finding_id)
+          GROUP BY ALL HAVING count(*) FILTER (state = 'rejected') > 0 AND count(*) FILTER (state = 'verified') = 0)
+        WHERE driver IS NOT NULL GROUP BY region""",
+    # The fit at a score: the largest, over beginnings at or before it, of the least mean up to an end at or after it.
+    "v_train_steps": """
+        SELECT x, sum(n) OVER (ORDER BY x) AS n, sum(h) OVER (ORDER BY x) AS h, n AS own_n, h AS own_h
+        FROM (SELECT confidence AS x, count(*)::DOUBLE AS n, (count(*) FILTER (correct))::DOUBLE AS h
+              FROM v_judged WHERE split = 'train' GROUP BY confidence)""",
+    "v_isotonic": """
+        SELECT x, any_value(own_n) AS n, any_value(own_h) AS h, max(least_mean) AS value FROM (
+          SELECT k.x, i.x AS i, any_value(k.own_n) AS own_n, any_value(k.own_h) AS own_h,
+                 min((j.h - i.h + i.own_h) / (j.n - i.n + i.own_n)) AS least_mean
+          FROM v_train_steps k JOIN v_train_steps i ON i.x <= k.x JOIN v_train_steps j ON j.x >= k.x GROUP BY k.x, i.x)
+        GROUP BY x""",
+    "v_usable": """
+        SELECT (SELECT count(*) >= 40 AND count(DISTINCT correct) = 2 FROM v_judged WHERE split = 'train')
+           AND (SELECT sum(h - 2 * value * h + n * value * value) / sum(n) FROM v_isotonic)
+               <= (SELECT avg(pow(confidence - CASE WHEN correct THEN 1 ELSE 0 END, 2)) FROM v_judged WHERE split = 'train') AS usable""",
+    "v_probabilities": """
+        SELECT case_id, confidence, correct, CASE WHEN usable THEN CASE
+                 WHEN below.x IS NULL THEN above.value WHEN above.x IS NULL OR above.x = below.x THEN below.value
+                 ELSE below.value + (above.value - below.value) * (confidence - below.x) / (above.x - below.x) END END AS probability
+        FROM (SELECT * FROM v_judged WHERE split = 'test') t CROSS JOIN v_usable
+        ASOF LEFT JOIN v_isotonic below ON t.confidence >= below.x
+        ASOF LEFT JOIN v_isotonic above ON t.confidence <= above.x""",
     "v_sized": """
         SELECT v.*, coalesce(b.slice_base, 0) * effect AS contribution
         FROM v_verified v LEFT JOIN (
@@ -362,6 +426,10 @@ ANSWERS = {
     "calibration_bins": """SELECT CAST(least(floor(confidence * 5), 4) AS INTEGER) AS bin, count(*) AS n,
         round(avg(confidence), 6) AS mean_score,
         round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM v_judged GROUP BY 1""",
+    "calibrated": "SELECT case_id, confidence, round(probability, 6) AS probability FROM v_probabilities",
+    "calibration_gain": """SELECT count(*) AS n, round(avg(pow(confidence - CASE WHEN correct THEN 1 ELSE 0 END, 2)), 6) AS before,
+        round(avg(pow(probability - CASE WHEN correct THEN 1 ELSE 0 END, 2)), 6) AS after FROM v_probabilities""",
+    "rank_drivers": ridge_sql(),
     "bench_metrics": """SELECT count(*) AS cases, count(top1) AS with_planted_cause,
         count(*) FILTER (verdict = 'explained') AS reported_a_cause,
         count(*) FILTER (verdict = 'unknown') AS abstained,

@@ -89,12 +89,34 @@ def test_ridge_equals_the_closed_form(spark):
 
 
 def test_rejected_drivers_are_not_ranked(spark):
-    fitted = spark.createDataFrame([("s", "p", 0.9, 40), ("s", "q", -0.4, 40)], parts.RIDGE)
+    fitted = spark.createDataFrame(
+        [("s", "p", 0.9, 40), ("s", "q", -0.4, 40)], "key string, driver string, coefficient double, observations bigint")
     rejected = spark.createDataFrame([("p",)], "driver string")
     rows = parts.rank_drivers(fitted, rejected).collect()
     assert [(r.driver, r.state) for r in rows] == [("q", "hypothesis")]
 
 
+def test_a_rejected_driver_leaves_the_fit_not_only_the_ranking(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    x[:, 2] = x[:, 0] + 0.2 * x[:, 2]
+    y = x[:, 0] + 0.5 * x[:, 1] + rng.normal(0, 0.1, 60)
+    names = ("p", "q", "r")
+    frame = spark.createDataFrame([(k, *map(float, row), float(v)) for k in ("s", "t", "few") for row, v in list(zip(x, y))[:9 if k == "few" else 60]],
+                                  "k string, p double, q double, r double, y double")
+    barred = spark.createDataFrame([("s", "p"), ("s", "p"), ("u", "q")], "k string, driver string")
+    moments = parts.driver_moments(frame, "k", "y", names)
+    got = {(r.key, r.driver): r.coefficient for r in parts.ridge(moments, "k", names, floor=0.0, rejected=barred).collect()}
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    yz = (y - y.mean()) / y.std()
+    for key, kept in (("s", [1, 2]), ("t", [0, 1, 2])):
+        want = np.linalg.solve(z[:, kept].T @ z[:, kept] + np.eye(len(kept)), z[:, kept].T @ yz)
+        assert {d for k, d in got if k == key} == {names[i] for i in kept}
+        assert [got[key, names[i]] for i in kept] == pytest.approx(list(want))
+    assert not any(k == "few" for k, _ in got)
+    assert "Python" not in parts.ridge(moments, "k", names)._jdf.queryExecution().toString()
+
+
 def test_waterfall_scales_overlap_and_adds_back(spark):
     moved = spark.createDataFrame([("f", 100.0, 40.0, -60.0)],
                                   "finding_id string, base_revenue double, current_revenue double, total_change double")

@@ -51,16 +51,6 @@ def test_reasons_to_abstain(spark, causes, kw, reason):
     assert row.band == "unknown" and reason in row.reasons
 
 
-def test_calibration_needs_outcomes_and_both_classes(spark):
-    rows = [(f"c{i}", i / 60, i > 30) for i in range(60)]
-    schema = "case_id string, confidence double, correct boolean"
-    fitted = confidence.calibrated(spark.createDataFrame(rows, schema))
-    probs = [r.probability for r in fitted.orderBy("confidence").collect()]
-    assert probs == sorted(probs) and probs[0] == 0.0 and probs[-1] == 1.0
-    assert confidence.calibrated(spark.createDataFrame(rows[:30], schema)) is None
-    assert confidence.calibrated(spark.createDataFrame([(a, b, True) for a, b, _ in rows], schema)) is None
-
-
 def test_the_last_bin_is_closed(spark):
     rows = [("a", 1.0, True), ("b", 0.8, False), ("c", 0.0, False)]
     got = confidence.calibration_error(spark.createDataFrame(

@@ -21,7 +21,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables
 def test_every_sql_answer_belongs_to_a_job():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     only_rows = set(JOBS) - set(entry.oracle_sql())
-    assert only_rows == {"rank_drivers", "calibrated"}
+    assert only_rows == set()
 
 
 @needs_data
