@@ -1,14 +1,14 @@
 """Causal tests of every candidate at once.
 
-One pass reads the days any test of a candidate needs, folds them to sums per
-region, and everything after that is arithmetic on one row per candidate. Scope
-is matched by equality: the daily panel is laid out once for each combination of
-scope dimensions, and a candidate joins the layout of the dimensions it names.
+Revenue per day is laid out only for the slices that candidates name, and summed from the
+first day on, once per slice and region. A window of a candidate is then the difference of
+two such sums, so its fifteen windows cost thirty look-ups per region however long they
+are, and everything after that is arithmetic on one row per candidate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwise.config import (
@@ -21,7 +21,6 @@ from driftwise.config import (
     PLACEBO_STEP_DAYS,
     PLACEBO_WINDOWS,
 )
-from driftwise.functions.columns import spread
 from driftwise.operators.candidates import SCOPE
 
 KEY = ("finding_id", "doc_id")
@@ -46,6 +45,57 @@ def layout_of() -> Column:
                F.lit(0))
 
 
+def scope_of() -> Column:
+    """A slice's name: which dimensions it fixes, and to what."""
+    return F.concat_ws("\u0001", layout_of().cast("string"), *[F.coalesce(F.col(dim), F.lit("")) for dim in SCOPE])
+
+
+def scope_days(scopes: DataFrame, facts: DataFrame) -> DataFrame:
+    """(scope, region, d, revenue) of the slices (scope, layout and dimensions) that are named.
+
+    A dimension that the facts lack holds no value, so a slice that fixes it has no day.
+    """
+    absent = {dim: F.lit(None).cast("string") for dim in SCOPE if dim not in facts.columns}
+    used = scopes.select("layout").distinct()  # one row per combination of dimensions at most
+    laid = facts.withColumns(absent).crossJoin(F.broadcast(used)).select(
+        "layout", "d", "region", F.col("revenue").cast("decimal(28,6)").alias("revenue"),
+        *[F.when(F.col("layout").bitwiseAND(1 << i) > 0, F.col(dim)).alias(dim) for i, dim in enumerate(SCOPE)])
+    match = laid["layout"] == scopes["layout"]
+    for dim in SCOPE:
+        match = match & laid[dim].eqNullSafe(scopes[dim])
+    return laid.join(scopes, match).groupBy("scope", laid["region"], laid["d"]).agg(F.sum("revenue").alias("revenue"))
+
+
+def window_sums(asked: DataFrame, facts: DataFrame, spans: dict[str, tuple[Column, Column]], *carried: str) -> DataFrame:
+    """Per key and region, the exact revenue and the days seen of each window (first, last day) of a slice.
+
+    Days and the ends of windows run through one sorted pass per slice and region, which the
+    calendar bounds: equal ends of many candidates are one row there.
+    """
+    named = asked.withColumns({"scope": scope_of(), "layout": layout_of().cast("int")})
+    days = scope_days(named.select("scope", "layout", *SCOPE).distinct(), facts)
+    ends = F.array(*[F.struct(F.lit(name).alias("window"), F.lit(sign).alias("sign"), day.alias("d"))
+                     for name, (lo, hi) in spans.items() for sign, day in ((1, hi), (-1, F.date_sub(lo, 1)))])
+    probes = named.select(*KEY, *carried, "scope", F.explode(ends).alias("p")).select(
+        *KEY, *carried, "scope", "p.window", "p.sign", "p.d")
+    places = probes.select("scope", "d").distinct().join(days.select("scope", "region").distinct(), "scope")
+    upto = Window.partitionBy("scope", "region").orderBy("d", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    running = (
+        days.select("scope", "region", "d", "revenue", F.lit(1).alias("seen"), F.lit(0).alias("probe"))
+        .unionByName(places.select("scope", "region", "d", F.lit(0).cast("decimal(38,6)").alias("revenue"), F.lit(0).alias("seen"),
+                                   F.lit(1).alias("probe")))
+        .withColumns({"total": F.sum("revenue").over(upto), "days": F.sum("seen").over(upto)})
+        .filter("probe = 1").select("scope", "region", "d", "total", "days")
+    )
+    told = probes.join(running, ["scope", "d"])
+    sums = []
+    for name in spans:
+        inside = F.col("window") == name
+        sums += [F.sum(F.when(inside, F.col("sign") * F.col("total"))).cast("double").alias(f"{name}_sum"),
+                 F.sum(F.when(inside, F.col("sign") * F.col("days"))).alias(f"{name}_n")]
+    return told.groupBy(*KEY, *carried, "region").agg(*sums)
+
+
 def windows(baseline: int = BASELINE_DAYS) -> dict[str, tuple[Column, Column]]:
     """First and last day of each window a candidate is tested on."""
     start, end = F.col("start"), F.col("end")
@@ -63,27 +113,10 @@ def windows(baseline: int = BASELINE_DAYS) -> dict[str, tuple[Column, Column]]:
     return spans
 
 
-def region_sums(candidates: DataFrame, panel: DataFrame) -> DataFrame:
-    """Revenue and days seen per candidate, region and window, in one pass."""
-    spans = windows()
-    first = F.date_sub(
-        F.col("start"), BASELINE_DAYS * 2 + 1 + PLACEBO_WINDOWS * PLACEBO_STEP_DAYS)
-    first = F.date_sub(first, F.greatest(F.datediff("end", "start"), F.lit(1)))
-    days = spread(candidates, *KEY).select(
-        *KEY, "start", "end", "exposed", *SCOPE, layout_of().cast("int").alias("layout"),
-        F.explode(F.sequence(first, F.col("end"))).alias("d"))
-    match = (days["layout"] == panel["layout"]) & (days["d"] == panel["d"])
-    for dim in SCOPE:
-        match = match & days[dim].eqNullSafe(panel[dim])
-    joined = days.join(panel, match).select(
-        *KEY, days["start"], days["end"], days["d"], panel["region"], panel["revenue"],
-        F.array_contains(days["exposed"], panel["region"]).alias("treated"))
-    sums = []
-    for name, (lo, hi) in spans.items():
-        inside = F.col("d").between(lo, hi)
-        sums += [F.sum(F.when(inside, F.col("revenue"))).alias(f"{name}_sum"),
-                 F.count(F.when(inside, 1)).alias(f"{name}_n")]
-    return joined.groupBy(*KEY, "region", "treated").agg(*sums)
+def region_sums(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Revenue and days seen per candidate, region and window."""
+    sums = window_sums(candidates, facts, windows(), "exposed")
+    return sums.withColumn("treated", F.array_contains("exposed", F.col("region"))).drop("exposed")
 
 
 def change(during: Column, before: Column) -> Column:
@@ -194,5 +227,5 @@ def verdicts(tested: DataFrame) -> DataFrame:
 
 def verify(candidates: DataFrame, panel: DataFrame) -> DataFrame:
     """Candidates with every test outcome and their verdict."""
-    sums = region_sums(candidates, scoped_panel(panel))
+    sums = region_sums(candidates, panel)
     return verdicts(outcomes(effects(candidates, sums)))

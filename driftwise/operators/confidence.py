@@ -17,8 +17,7 @@ from driftwise.config import (
     STRENGTH_SATURATION,
 )
 from driftwise.functions.columns import ratio
-from driftwise.operators.candidates import SCOPE
-from driftwise.operators.causal import KEY, layout_of, scoped_panel
+from driftwise.operators.causal import KEY, window_sums
 
 
 def contributions_of(verified: DataFrame, panel: DataFrame) -> DataFrame:
@@ -26,18 +25,11 @@ def contributions_of(verified: DataFrame, panel: DataFrame) -> DataFrame:
 
     A cause recorded for no region is sized over all of them.
     """
-    days = verified.select(
-        *KEY, "exposed", *SCOPE, layout_of().cast("int").alias("layout"),
-        F.explode(F.sequence(F.date_sub("finding_start", BASELINE_DAYS),
-                             F.date_sub("finding_start", 1))).alias("d"))
-    laid = scoped_panel(panel)
-    match = (days["layout"] == laid["layout"]) & (days["d"] == laid["d"])
-    for dim in SCOPE:
-        match = match & days[dim].eqNullSafe(laid[dim])
-    match = match & ((F.size(days["exposed"]) == 0)
-                     | F.array_contains(days["exposed"], laid["region"]))
-    base = days.join(laid, match).groupBy(*[days[k] for k in KEY]).agg(
-        (F.sum(laid["revenue"]) / BASELINE_DAYS).alias("slice_base"))
+    usual = {"usual": (F.date_sub("finding_start", BASELINE_DAYS), F.date_sub("finding_start", 1))}
+    sums = window_sums(verified, panel, usual, "exposed")
+    held = (F.size("exposed") == 0) | F.array_contains("exposed", F.col("region"))
+    base = sums.filter(held & (F.col("usual_n") > 0)).groupBy(*KEY).agg(
+        (F.sum("usual_sum") / BASELINE_DAYS).alias("slice_base"))
     return verified.join(base, list(KEY), "left").withColumn(
         "contribution", F.coalesce("slice_base", F.lit(0.0)) * F.col("effect"))
 

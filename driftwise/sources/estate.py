@@ -19,7 +19,8 @@ from driftwise.config import ROUTES
 from driftwise.functions.columns import money, pick
 from driftwise.operators.lineage import materialise, read_table, snapshot
 from driftwise.operators.metrics import bridge_facts
-from driftwise.session import prepare
+from driftwise.session import prepare, shared_folder
+from driftwise.sources import prepared
 
 def _code_digest() -> str:
     """A digest of this package's own source, so new code never reads old stages."""
@@ -31,6 +32,10 @@ def _code_digest() -> str:
 
 STAGE_VERSION = _code_digest()
 _SNAPSHOTS: dict[tuple[str, str], str] = {}
+_PREPARED: dict[tuple[str, str], prepared.Manifest] = {}
+#: Columns of lines that only some jobs read, and those of products.
+LINE_EXTRAS = ("l_tax",)
+PRODUCT = ("category", "sku", "p_retailprice")
 
 READABLE = frozenset((
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -106,7 +111,7 @@ class Estate:
         return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
     # --- sales ------------------------------------------------------------
-    def lines(self, dedupe: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    def lines(self, dedupe: bool = True, extra: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
         """Order lines under their business names, repeated postings removed.
 
         The first row per (order, line) is kept under a total order, so the
@@ -118,6 +123,8 @@ class Estate:
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
             "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", *extra,
         )
+        if only is not None:
+            raw = raw.filter(only)
         if dedupe:
             first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
                 "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
@@ -161,34 +168,81 @@ class Estate:
 
     def sales(self, dedupe: bool = True, products: bool = True, clock: bool = True,
               extra: tuple[str, ...] = ()) -> DataFrame:
-        """Order lines with every dimension a sales metric can be cut by."""
-        heads = self.order_heads().drop("o_totalprice", "o_orderstatus")
-        frame = self.lines(dedupe, extra).join(heads, "order_id")
-        if products:
-            products_of = self.table("part").select(
-                F.col("p_partkey").alias("part_id"), F.col("p_type").alias("category"),
-                F.col("p_brand").alias("sku"), "p_retailprice",
-            )
-            frame = frame.join(products_of, "part_id")
+        """Order lines with every dimension a sales metric can be cut by.
+
+        Lines without repeated postings are read from the prepared table.
+        """
+        if dedupe and set(extra) <= set(LINE_EXTRAS):
+            frame = self.prepared_sales().drop(*(set(LINE_EXTRAS) - set(extra)))
+            frame = frame.filter("sold").drop("sold") if products else frame.drop("sold", *PRODUCT)
+        else:
+            heads = self.order_heads().drop("o_totalprice", "o_orderstatus")
+            frame = self.lines(dedupe, extra).join(heads, "order_id")
+            if products:
+                frame = frame.join(self.products(), "part_id")
         return frame.withColumn("order_ts", local_clock()) if clock else frame
 
+    def products(self) -> DataFrame:
+        return self.table("part").select(
+            F.col("p_partkey").alias("part_id"), F.col("p_type").alias("category"),
+            F.col("p_brand").alias("sku"), "p_retailprice")
+
+    def prepared_sales(self) -> DataFrame:
+        """Order lines, repeated postings removed, with all dimensions; ``sold`` says that the product is known.
+
+        The table is kept in slices of order ids, in which all postings of a line lie, and
+        only slices whose lines or orders changed are built again. Customers, places and
+        products are shared by all slices, so a change there builds all of them.
+        """
+        held = (self.spark.sparkContext.applicationId, self.root)
+        if held not in _PREPARED:
+            _PREPARED[held] = self.refresh_sales()
+        schema = self.built_sales(None).schema
+        return prepared.read(self.spark, _PREPARED[held], schema)
+
+    def built_sales(self, chosen: Column | None) -> DataFrame:
+        heads = self.order_heads().drop("o_totalprice", "o_orderstatus")
+        lines = self.lines(extra=LINE_EXTRAS, only=chosen)
+        products = self.products().withColumn("sold", F.lit(True))
+        return lines.join(heads, "order_id").join(products, "part_id", "left").withColumn("sold", F.coalesce("sold", F.lit(False)))
+
+    def refresh_sales(self) -> prepared.Manifest:
+        root = hashlib.sha256(self.root.encode()).hexdigest()[:12]
+        folder = f"{shared_folder(self.spark).rstrip('/')}/sales-{root}-{STAGE_VERSION}"
+        lines, orders = self.table("lineitem"), self.table("orders")
+
+        def told(width: int) -> DataFrame:
+            shared = prepared.whole_digest([self.table(t) for t in ("customer", "nation", "region", "part")])
+            parts = prepared.digests(lines, "l_orderkey", width, shared).unionByName(
+                prepared.digests(orders, "o_orderkey", width, "orders"))
+            return parts.filter("slice is not null").groupBy("slice").agg(
+                F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"))
+
+        def build(width: int, slices: list[int]) -> DataFrame:
+            chosen = prepared.slice_of(F.col("l_orderkey"), width).isin(slices)
+            return self.built_sales(chosen).withColumn("slice", prepared.slice_of(F.col("order_id"), width))
+
+        return prepared.refresh(self.spark, folder, snapshot(self.spark, self.root),
+                                lambda: lines.agg(F.max("l_orderkey")).first()[0], told, build)
+
     def order_totals(self) -> DataFrame:
         """Net value per order, kept as a stage."""
-        return self.stage("order_totals", self.fold_orders)
+        return self.stage("order_totals", lambda: self.fold_orders(
+            self.prepared_sales().select("order_id", "status", "qty", "unit_price", "discount")))
 
     def daily_facts(self) -> DataFrame:
         """Exact units and revenue per day, product and slice, kept as a stage."""
         return self.stage("daily_facts", lambda: bridge_facts(
             self.sales(), "sku", ("region", "channel", "category", "device")))
 
-    def fold_orders(self) -> DataFrame:
-        """Net value per order, summed before any dimension is joined.
+    def fold_orders(self, lines: DataFrame | None = None) -> DataFrame:
+        """Net value per order, summed before any dimension is joined; from the raw lines if none are given.
 
         Lines are folded to orders first, on the key they are next joined on, so
         the wide join carries one row per order instead of one per line.
         """
         net = (
-            self.lines().filter("status <> 'cancelled'")
+            (self.lines() if lines is None else lines).filter("status <> 'cancelled'")
             .groupBy("order_id")
             .agg(F.sum(money("qty * unit_price - discount")).alias("net"),
                  F.sum(F.expr("cast(qty as decimal(18,6))")).alias("units"))
