@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwise import config
 from driftwise.config import RETAIL
 from driftwise.functions.columns import day_text, pick
+from driftwise.functions.holidays import holidays
 from driftwise.operators import actions, calibration, confidence, detection, governance, lineage, signals
 from driftwise.operators import decomposition as parts
 from driftwise.plans.cause_jobs import (
@@ -201,6 +202,15 @@ def event_proximity(e: Estate) -> DataFrame:
     return confidence.near_events(days, events, 10).withColumn("day", day_text("day"))
 
 
+@job("holiday_proximity")
+def holiday_proximity(e: Estate) -> DataFrame:
+    """Material days within three days of a public holiday, each with the nearest one."""
+    days = flagged(e).filter("material").select("kpi_id", "region", F.to_date("ts").alias("day")).distinct()
+    # A holiday may lie just over the end of a year.
+    years = days.select(F.explode(F.array(*[F.year("day") + k for k in (-1, 0, 1)])).alias("year")).distinct()
+    return confidence.near_events(days, holidays(years), 3).withColumn("day", day_text("day"))
+
+
 # --- outside warnings ---------------------------------------------------------------------------
 @job("actionable")
 def actionable(e: Estate) -> DataFrame:
@@ -370,7 +380,8 @@ def overlay(e: Estate) -> DataFrame:
 # --- entitlement --------------------------------------------------------------------------------------
 @job("entitled_causes")
 def entitled_causes(e: Estate) -> DataFrame:
-    return governance.visible_causes(sized(e), ENTITLED).select("finding_id", "doc_id", "candidate_id")
+    """Tested causes, whatever came of them, that a reader of some regions may see."""
+    return governance.visible_causes(tested(e), ENTITLED).select("finding_id", "doc_id", "candidate_id", "state")
 
 
 @job("withheld_counts")

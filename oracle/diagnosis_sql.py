@@ -459,6 +459,25 @@ ANSWERS = {
         min(abs(day - peak)) AS days_away
         FROM (SELECT DISTINCT kpi_id, region, CAST(ts AS DATE) AS day FROM v_flagged WHERE material)
         JOIN v_peaks ON abs(day - peak) <= 10 GROUP BY kpi_id, region, day""",
+    # Easter as the first Sunday after the paschal full moon, taken from its table of 19 dates for 1900 to 2199.
+    "holiday_proximity": """WITH years AS (SELECT unnest(range(1990, 2036)) AS y),
+        easter AS (SELECT y, m + ((7 - isodow(m)) % 7 + CASE WHEN isodow(m) = 7 THEN 7 ELSE 0 END)::INT AS sunday FROM (
+          SELECT y, make_date(y, 3, 21) + [24, 13, 2, 21, 10, 29, 18, 7, 26, 15, 4, 23, 12, 1, 20, 9, 27, 17, 6][(y % 19 + 1)::INT]::INT AS m
+          FROM years)),
+        fixed AS (
+          SELECT 'new year''s day' AS event, make_date(y, 1, 1) AS d FROM years
+          UNION ALL SELECT 'christmas day', make_date(y, 12, 25) FROM years UNION ALL SELECT 'boxing day', make_date(y, 12, 26) FROM years),
+        named AS (
+          SELECT event, d FROM fixed
+          UNION ALL SELECT 'good friday', sunday - 2 FROM easter UNION ALL SELECT 'easter monday', sunday + 1 FROM easter
+          UNION ALL SELECT 'early may', min(d) FROM (SELECT y, make_date(y, 5, k::INT) AS d FROM years, range(1, 32) r(k)) WHERE isodow(d) = 1 GROUP BY y
+          UNION ALL SELECT 'spring', max(d) FROM (SELECT y, make_date(y, 5, k::INT) AS d FROM years, range(1, 32) r(k)) WHERE isodow(d) = 1 GROUP BY y
+          UNION ALL SELECT 'summer', max(d) FROM (SELECT y, make_date(y, 8, k::INT) AS d FROM years, range(1, 32) r(k)) WHERE isodow(d) = 1 GROUP BY y
+          UNION ALL SELECT event || ' (observed)', CASE WHEN event <> 'new year''s day' THEN d + 2 WHEN isodow(d) = 6 THEN d + 2 ELSE d + 1 END
+          FROM fixed WHERE isodow(d) >= 6)
+        SELECT kpi_id, region, strftime(day, '%Y-%m-%d') AS day, arg_min(event, (abs(day - d), d, event)) AS event, min(abs(day - d)) AS days_away
+        FROM (SELECT DISTINCT kpi_id, region, CAST(ts AS DATE) AS day FROM v_flagged WHERE material)
+        JOIN named ON abs(day - d) <= 3 GROUP BY kpi_id, region, day""",
     "actionable": """SELECT signal_type, region, severity,
         is_public AND severity IN ('amber', 'red') AND lead_time_hours >= 24 AS actionable,
         count(*) AS warnings FROM v_signals GROUP BY ALL""",
@@ -550,7 +569,8 @@ ANSWERS = {
         LEFT JOIN (SELECT kpi_id, {pick(('min_abs_money', 'no_such_field'), 'seq')} AS field,
                      arg_max(movement_inr, seq) AS to_value
                    FROM v_feedback WHERE judgement = 'not_material' GROUP BY ALL) USING (kpi_id, field)""",
-    "entitled_causes": """SELECT finding_id, doc_id, candidate_id FROM v_seen""",
+    "entitled_causes": """SELECT finding_id, doc_id, candidate_id, state FROM v_verdicts
+        WHERE len(exposed) = 0 OR list_has_any(exposed, ['ASIA', 'EUROPE'])""",
     "withheld_counts": """SELECT finding_id, count(*) AS withheld, max(abs(contribution)) > 0 AS material
         FROM v_sized WHERE NOT (len(exposed) = 0 OR list_has_any(exposed, ['ASIA', 'EUROPE']))
         GROUP BY finding_id""",

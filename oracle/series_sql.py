@@ -290,7 +290,8 @@ VIEWS = {
 }
 
 ANSWERS = {
-    "scan_limit": "SELECT count(*) AS rows FROM (SELECT 1 FROM lineitem LIMIT 100)",
+    "scan_limit": """SELECT l_returnflag AS status, count(*) AS rows, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units,
+        max(l_orderkey) AS last_order FROM lineitem GROUP BY 1""",
     "docs_window": f"""SELECT doc_id, doc_type, {TS.format('ts')}, region, n_chars FROM v_documents
         WHERE v_documents.ts BETWEEN TIMESTAMP '1996-06-01' AND TIMESTAMP '1997-06-01'""",
     "dedupe": """SELECT status, count(*) AS lines, CAST(sum(part_id) AS BIGINT) AS parts,
