@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftwise.functions import text as words
 from driftwise.functions.columns import pick
 from driftwise.operators import corroboration as search
+from driftwise.operators import latent
 from driftwise.plans.cause_jobs import SALES_SCOPE, tested
 from driftwise.plans.registry import job
 from driftwise.plans.series_jobs import ENTITLED, rounded
@@ -77,6 +78,30 @@ def vector_topk(e: Estate) -> DataFrame:
     return rounded(out, 6, "score")
 
 
+DIRECTIONS = 8
+
+
+def desk_rows(e: Estate) -> DataFrame:
+    """The words of each kind of document in each region, as rows of length 1."""
+    desks = e.documents().select("doc_id", F.concat_ws("/", "region", "doc_type").alias("desk"))
+    counts = word_counts(e).join(desks, "doc_id").groupBy("desk", "token").agg(F.sum("tf").alias("tf"))
+    return latent.unit_rows(counts, ["desk"])
+
+
+@job("latent_values")
+def latent_values(e: Estate) -> DataFrame:
+    """The strongest directions of what the regions' desks write."""
+    values, _, _ = latent.latent(desk_rows(e), "desk", DIRECTIONS)
+    return e.spark.createDataFrame([(i + 1, round(v, 6)) for i, v in enumerate(values)], "direction int, strength double")
+
+
+@job("latent_neighbours")
+def latent_neighbours(e: Estate) -> DataFrame:
+    """The desks that write most alike, by latent vectors."""
+    _, rows, _ = latent.latent(desk_rows(e), "desk", DIRECTIONS)
+    return rounded(latent.nearest(rows, "desk", 4), 6, "score")
+
+
 @job("complaint_query")
 def complaint_query(e: Estate) -> DataFrame:
     return e.notes().select("doc_id", words.complaint_query(F.col("text")).alias("query"))

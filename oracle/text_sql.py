@@ -131,6 +131,43 @@ VIEWS = {
                TIMESTAMP '1996-01-01 00:00:00' + to_days(CAST(item_id * 30 % 1200 AS INTEGER))
                  + INTERVAL 540 DAY AS hi
         FROM benchmark""",
+    "v_desk_weights": f"""
+        WITH counted AS (SELECT region || '/' || doc_type AS desk, token, sum(tf) AS tf
+                         FROM ({tokens('v_documents', 'region, doc_type', 'text')}) GROUP BY ALL),
+        idf AS (SELECT token, ln((1.0 + (SELECT count(DISTINCT desk) FROM counted)) / (1.0 + count(*))) + 1.0 AS idf FROM counted GROUP BY token),
+        w AS (SELECT desk, token, (1.0 + ln(tf)) * idf AS w FROM counted JOIN idf USING (token))
+        SELECT desk, token, w / sqrt(sum(w * w) OVER (PARTITION BY desk)) AS w FROM w""",
+    "v_desks": "SELECT desk, row_number() OVER (ORDER BY desk) - 1 AS i FROM (SELECT DISTINCT desk FROM v_desk_weights)",
+    # Eigenvalues and vectors of the desks' Gram matrix: plane rotations over all pairs of lines, again and again.
+    "v_turning": """
+        SELECT 0 AS step, (SELECT count(*) FROM v_desks)::INT AS n,
+               (SELECT list(g ORDER BY i, j) FROM (SELECT a.i AS i, b.i AS j, sum(x.w * y.w) AS g
+                  FROM v_desk_weights x JOIN v_desks a ON a.desk = x.desk JOIN v_desk_weights y ON y.token = x.token
+                  JOIN v_desks b ON b.desk = y.desk GROUP BY a.i, b.i)) AS m,
+               (SELECT list(CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY a.i, b.i) FROM v_desks a, v_desks b) AS v,
+               (SELECT list(a.i::INT ORDER BY a.i, b.i) FROM v_desks a JOIN v_desks b ON a.i < b.i) AS ps,
+               (SELECT list(b.i::INT ORDER BY a.i, b.i) FROM v_desks a JOIN v_desks b ON a.i < b.i) AS qs
+        UNION ALL
+        SELECT step + 1, n,
+               list_transform(range(n * n), lambda x: CASE WHEN x // n = p THEN c * t[x + 1] - s * t[q * n + x % n + 1]
+                 WHEN x // n = q THEN s * t[p * n + x % n + 1] + c * t[x + 1] ELSE t[x + 1] END),
+               list_transform(range(n * n), lambda x: CASE WHEN x % n = p THEN c * v[x + 1] - s * v[(x // n) * n + q + 1]
+                 WHEN x % n = q THEN s * v[(x // n) * n + p + 1] + c * v[x + 1] ELSE v[x + 1] END), ps, qs
+        FROM (SELECT *, list_transform(range(n * n), lambda x: CASE WHEN x % n = p THEN c * m[x + 1] - s * m[(x // n) * n + q + 1]
+                 WHEN x % n = q THEN s * m[(x // n) * n + p + 1] + c * m[x + 1] ELSE m[x + 1] END) AS t
+        FROM (SELECT *, tan / sqrt(1 + tan * tan) AS s, 1 / sqrt(1 + tan * tan) AS c
+        FROM (SELECT *, CASE WHEN abs(m[p * n + q + 1]) < 1e-300 THEN 0.0::DOUBLE ELSE
+                 (CASE WHEN m[q * n + q + 1] >= m[p * n + p + 1] THEN 1 ELSE -1 END)
+                 / (abs((m[q * n + q + 1] - m[p * n + p + 1]) / (2 * m[p * n + q + 1]))
+                    + sqrt(1 + pow((m[q * n + q + 1] - m[p * n + p + 1]) / (2 * m[p * n + q + 1]), 2)))
+                 * sign(m[p * n + q + 1]) END AS tan
+        FROM (SELECT *, ps[step % len(ps) + 1] AS p, qs[step % len(ps) + 1] AS q FROM v_turning WHERE step < 10 * len(ps)))))""",
+    "v_directions": """
+        SELECT k, m[(k * n + k + 1)::INT] AS square, list_transform(range(n), lambda i: v[(i * n + k + 1)::INT]) AS way,
+               row_number() OVER (ORDER BY m[(k * n + k + 1)::INT] DESC) AS place
+        FROM (SELECT * FROM v_turning ORDER BY step DESC LIMIT 1), LATERAL (SELECT unnest(range(n)) AS k)""",
+    "v_desk_places": """
+        SELECT desk, place, sqrt(square) * way[(i + 1)::INT] AS x FROM v_desks, v_directions WHERE place <= 8""",
     "v_passage_hits": ranked("v_passages", "v_documents", 5),
     "v_doc_idf": f"""
         SELECT token, ln((1.0 + (SELECT count(*) FROM v_documents)) / (1.0 + count(*))) + 1.0 AS idf
@@ -189,6 +226,11 @@ ANSWERS = {
                sha256(quote) AS quote
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, start) AS rn
               FROM hits) WHERE rn = 1""",
+    "latent_values": """SELECT CAST(place AS INTEGER) AS direction, round(sqrt(square), 6) AS strength FROM v_directions WHERE place <= 8""",
+    "latent_neighbours": """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank
+        FROM (SELECT a.desk AS query_id, b.desk AS vec_id, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS score
+              FROM v_desk_places a JOIN v_desk_places b USING (place) GROUP BY a.desk, b.desk)) WHERE rank <= 4""",
     "vector_topk": """WITH flat AS (
           SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
           FROM embeddings),
