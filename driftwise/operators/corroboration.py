@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from driftwise.functions import text as words
 
@@ -54,31 +58,68 @@ def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return counts.join(idf, "token").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
 
 
+#: Days that share a cell of time in the postings.
+SPAN_DAYS = 90
+#: Queries that are held by every task while vectors stream by.
+HELD = 4096
+
+
+def _span(ts: Column) -> Column:
+    return F.floor(F.datediff(ts, F.lit("1970-01-01").cast("date")) / F.lit(SPAN_DAYS)).cast("int")
+
+
+def postings(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(doc_id, ts, span, token, w): the words of documents, each document's weights of length 1."""
+    weights = weighted(counts, idf)
+    size = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    return weights.join(size, "doc_id").select(
+        "doc_id", "ts", _span(F.col("ts")).alias("span"), "token", (F.col("w") / F.col("size")).alias("w"))
+
+
+def candidates(asked: DataFrame, listed: DataFrame, min_score: float) -> DataFrame:
+    """(query_id, doc_id) of every pair that can reach the score, and of few others.
+
+    A query's words are ordered, in each cell of time, by the most they could add there: their
+    weight times the largest of any posting. The words whose sums together stay below the score
+    cannot lift a document to it, so only postings of the others are read; a word that most
+    documents have adds little and is among those left out.
+    """
+    laid = asked.withColumn("span", F.explode(F.sequence(_span(F.col("lo")), _span(F.col("hi")))))
+    tops = listed.groupBy("token", "span").agg(F.max("w").alias("top"))
+    order = Window.partitionBy("query_id", "span").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    needed = (
+        laid.join(tops, ["token", "span"]).withColumn("most", F.col("w") * F.col("top"))
+        .withColumn("reach", F.sum("most").over(order)).filter(F.col("reach") >= min_score - 1e-9)
+        .select("query_id", "token", "span", "lo", "hi")
+    )
+    met = needed.join(listed.select("doc_id", "ts", "span", "token"), ["token", "span"])
+    return met.filter(F.col("ts").between(F.col("lo"), F.col("hi"))).select("query_id", "doc_id").distinct()
+
+
 def ranked_matches(queries: DataFrame, documents: DataFrame, stop_words: Sequence[str], k: int,
-                   min_score: float, counts: DataFrame | None = None) -> DataFrame:
+                   min_score: float, counts: DataFrame | None = None, idf: DataFrame | None = None,
+                   listed: DataFrame | None = None) -> DataFrame:
     """Top documents per query by cosine of tf-idf, inside each query's window.
 
     ``queries`` carries query_id, query and the window lo and hi; ``documents``
-    carries doc_id, ts and text. A document's words meet only the queries that
-    share one, partial sums are taken before the shuffle, and at most k rows per
-    query leave any task. ``counts`` may hand in the documents' word counts where
-    a caller keeps them, so the texts are split only once.
+    carries doc_id, ts and text. Words and cells of time are matched by equality, and only pairs
+    that can reach ``min_score`` are scored. ``counts``, ``idf`` and ``listed`` (postings) may be
+    handed in where a caller keeps them, so the texts are split and weighed only once.
     """
     if counts is None:
         counts = term_counts(documents, ("doc_id", "ts"), "text", stop_words)
-    idf = inverse_frequency(counts, documents)
-    docs = weighted(counts, idf)
-    asked = weighted(term_counts(queries, ("query_id", "lo", "hi"), "query", stop_words), idf)
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    doc_norm = docs.groupBy("doc_id").agg(size.alias("doc_norm"))
-    query_norm = asked.groupBy("query_id").agg(size.alias("query_norm"))
-    dots = (
-        docs.alias("d").join(asked.alias("q"), "token")
-        .filter(F.col("d.ts").between(F.col("q.lo"), F.col("q.hi")))
-        .groupBy("query_id", "doc_id").agg(F.sum(F.col("d.w") * F.col("q.w")).alias("dot"))
+    if idf is None:
+        idf = inverse_frequency(counts, documents)
+    if listed is None:
+        listed = postings(counts, idf)
+    said = weighted(term_counts(queries, ("query_id", "lo", "hi"), "query", stop_words), idf)
+    size = said.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    asked = said.join(size, "query_id").select("query_id", "lo", "hi", "token", (F.col("w") / F.col("size")).alias("w"))
+    scored = (
+        candidates(asked, listed, min_score).join(listed.select("doc_id", "token", "w"), "doc_id")
+        .join(asked.select("query_id", "token", F.col("w").alias("qw")), ["query_id", "token"])
+        .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
     )
-    scored = dots.join(doc_norm, "doc_id").join(query_norm, "query_id").withColumn(
-        "score", F.col("dot") / (F.col("doc_norm") * F.col("query_norm")))
     # Scores are compared to nine places, so the order of summing cannot swap ranks.
     place = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return (
@@ -118,22 +159,68 @@ def unit(vector: Column) -> Column:
     return F.transform(doubles, lambda x: x / norm)
 
 
+def _best(score: np.ndarray, ids: list, k: int) -> list[int]:
+    """Places of the k best scores, to nine places; of equal ones the smallest ids."""
+    told = np.round(score, 9)
+    if len(told) <= k:
+        return list(range(len(told)))
+    cut = np.partition(told, -k)[-k]
+    sure = np.flatnonzero(told > cut).tolist()
+    return sure + sorted(np.flatnonzero(told == cut).tolist(), key=lambda i: ids[i])[:k - len(sure)]
+
+
+def heaps(asked: list, vectors: DataFrame, k: int, min_score: float, query_type: DataType) -> DataFrame:
+    """(query_id, vec_id, score): of each task's vectors, the k nearest to each query, and no other pair."""
+    names, wanted = [r.query_id for r in asked], np.array([r.v for r in asked], float)
+    vec_type, query_kind = vectors.schema["vec_id"].dataType.simpleString(), to_arrow_type(query_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[list, np.ndarray]] = [([], np.zeros(0)) for _ in names]
+        id_kind = None
+        for batch in batches if names else ():
+            id_kind, ids = batch.schema.field(0).type, batch.column(0).to_pylist()
+            rows = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None]
+            if not rows:
+                continue
+            mine = np.array([batch.column(1)[i].as_py() for i in rows], float)
+            ids = [ids[i] for i in rows]
+            scores = wanted @ mine.T
+            for q, (old, kept) in enumerate(held):
+                near = np.flatnonzero(scores[q] >= min_score)
+                every, score = old + [ids[i] for i in near], np.concatenate([kept, scores[q, near]])
+                best = _best(score, every, k)
+                held[q] = [every[i] for i in best], score[best]
+        if id_kind is not None:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([names[q] for q, (ids, _) in enumerate(held) for _ in ids], query_kind),
+                pa.array([i for ids, _ in held for i in ids], id_kind),
+                pa.array(np.concatenate([s for _, s in held]))], ["query_id", "vec_id", "score"])
+
+    return vectors.select("vec_id", unit(F.col("vector")).alias("v")).mapInArrow(
+        run, f"query_id {query_type.simpleString()}, vec_id {vec_type}, score double")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.0,
             blocks: int = 1) -> DataFrame:
     """Exact cosine top-k of each query vector.
 
-    Queries travel in ``blocks`` rows of vectors and each document row meets each
+    Up to ``HELD`` queries are held by every task, which hands on its k nearest per query.
+    More of them travel in ``blocks`` rows of vectors and each document row meets each
     block once, so a caller with many queries raises ``blocks`` to keep one row
     small. At most k rows per query leave any task.
     """
-    packed = queries.select("query_id", unit(F.col("vector")).alias("v")).groupBy(
-        F.pmod(F.hash("query_id"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("query_id", "v")).alias("asked"))
-    rows = vectors.select("vec_id", unit(F.col("vector")).alias("dv"),
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = rows.join(packed, "block").select("vec_id", "dv", F.explode("asked").alias("q"))
-    dot = F.aggregate(F.zip_with("dv", "q.v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = met.select(F.col("q.query_id").alias("query_id"), "vec_id", dot.alias("score"))
+    units = queries.select("query_id", unit(F.col("vector")).alias("v"))
+    asked = units.limit(HELD + 1).collect()
+    if len(asked) <= HELD:
+        scored = heaps(asked, vectors, k, min_score, queries.schema["query_id"].dataType)
+    else:
+        packed = units.groupBy(F.pmod(F.hash("query_id"), F.lit(blocks)).alias("block")).agg(
+            F.collect_list(F.struct("query_id", "v")).alias("asked"))
+        rows = vectors.select("vec_id", unit(F.col("vector")).alias("dv"),
+                              F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        met = rows.join(packed, "block").select("vec_id", "dv", F.explode("asked").alias("q"))
+        dot = F.aggregate(F.zip_with("dv", "q.v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        scored = met.select(F.col("q.query_id").alias("query_id"), "vec_id", dot.alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
     return (
         scored.filter(F.col("score") >= min_score)

@@ -46,8 +46,17 @@ def word_counts(e: Estate) -> DataFrame:
         e.documents(), ("doc_id", "ts"), "text", STOP_WORDS))
 
 
+def word_weights(e: Estate) -> DataFrame:
+    return e.stage("word_weights", lambda: search.inverse_frequency(word_counts(e), e.documents()))
+
+
+def postings(e: Estate) -> DataFrame:
+    """Every document's weighted words, kept as a stage."""
+    return e.stage("postings", lambda: search.postings(word_counts(e), word_weights(e)))
+
+
 def passage_matches(e: Estate) -> DataFrame:
-    return search.ranked_matches(passages(e), e.documents(), STOP_WORDS, 5, FLOOR, word_counts(e))
+    return search.ranked_matches(passages(e), e.documents(), STOP_WORDS, 5, FLOOR, word_counts(e), word_weights(e), postings(e))
 
 
 @job("tfidf_topk")
