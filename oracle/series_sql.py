@@ -427,16 +427,17 @@ ANSWERS = {
           AND CAST(s.ts AS DATE) BETWEEN start_day AND end_day GROUP BY finding_id""",
     "overview": """WITH recent AS (
           SELECT *, held - back AS ahead, greatest(held // 60, 1) AS step FROM (
-            SELECT *, count(*) OVER (PARTITION BY kpi_id, region) AS held FROM (
-              SELECT *, row_number() OVER (PARTITION BY kpi_id, region ORDER BY ts DESC) AS back
-              FROM v_scored) WHERE back <= 365)),
+            SELECT *, count(*) OVER (PARTITION BY kpi_id, region) AS held,
+                   row_number() OVER (PARTITION BY kpi_id, region ORDER BY ts DESC) AS back
+            FROM v_scored s WHERE ts > (SELECT max(ts) FROM v_scored t WHERE t.kpi_id = s.kpi_id AND t.region = s.region) - INTERVAL 365 DAY)),
         summary AS (
           SELECT kpi_id, region, arg_max(value, ts) AS latest, arg_max(expected, ts) AS expected,
                  min(CAST(ts AS DATE)) AS since,
                  CASE WHEN avg(value) FILTER (ahead < 7) <> 0 THEN avg(value) FILTER (back <= 7)
                       / avg(value) FILTER (ahead < 7) - 1 END AS period_change,
                  count(*) FILTER (ahead % step = 0) AS spark_points,
-                 round(sum(value) FILTER (ahead % step = 0), 2) AS spark_sum
+                 string_agg(CAST(round(value, 9) AS DECIMAL(28,9))::VARCHAR, ' ' ORDER BY ts) FILTER (ahead % step = 0) AS line,
+                 string_agg(CAST(round(expected, 4) AS DECIMAL(28,4))::VARCHAR, ' ' ORDER BY ts) FILTER (ahead % step = 0) AS expected_line
           FROM recent GROUP BY ALL),
         marks AS (
           SELECT f.kpi_id, f.region, count(*) AS movements,
@@ -446,7 +447,7 @@ ANSWERS = {
           FROM v_flagged f JOIN summary s ON s.kpi_id = f.kpi_id AND s.region = f.region
           WHERE material AND CAST(ts AS DATE) >= since GROUP BY ALL)
         SELECT kpi_id, region, round(latest, 4) AS latest, round(expected, 4) AS expected,
-               round(period_change, 4) AS period_change, spark_points, spark_sum,
+               round(period_change, 4) AS period_change, spark_points, line, expected_line,
                coalesce(movements, 0) AS movements, coalesce(drops, 0) AS drops, worst_day,
                round(worst_pct, 4) AS worst_pct
         FROM summary LEFT JOIN marks USING (kpi_id, region)""",
