@@ -13,10 +13,13 @@ a component; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -126,10 +129,12 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; links are at two or fewer differing bits."""
     frame = texts(docs)
     prints = saved(frame.select("doc_id", fingerprint(width)("text").alias("fp")), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    roots = components(links_within_two(distinct.filter("id is not null")))
-    named = distinct.join(roots, distinct["id"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "id").alias("component_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    # Fingerprints are the nodes, so that one which only rows without an id have still links others.
+    roots = components(links_within_two(distinct.select("fp", F.col("fp").alias("id"))))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -144,6 +149,10 @@ NEAREST = 2
 CHUNK = 512
 #: Bits of the parity marks of a text's set of shingles.
 MARKS = 1024
+#: A shingle of so many texts of a batch may be common; and the most common ones that are kept as such, 2 MB.
+HEAVY, COMMON = 3, 1 << 18
+#: Texts whose keys are broadcast to fetch them, 32 MB.
+BROADCAST_ROWS = 1 << 21
 
 
 def jaccard(width: int):
@@ -161,66 +170,85 @@ def jaccard(width: int):
     return of
 
 
-def marks(width: int):
-    """A column function from text to the size of its set of shingles and, per bit, whether an odd number fall there."""
+def heavy(width: int):
+    """(s, n): the shingles that several texts of one batch have, and how many texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(0)]
+            every, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            many = n >= HEAVY
+            yield pa.RecordBatch.from_pydict({"s": pa.array(every[many].view(np.int64)), "n": pa.array(n[many].astype(np.int64))})
+
+    return run
+
+
+def common_shingles(own: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many texts have, the most common ``COMMON`` of them at most, sorted."""
+    found = own.select("text").mapInArrow(heavy(width), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    listed = found.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toPandas()["s"]
+    return np.sort(listed.to_numpy(np.int64).view(np.uint64))
 
-    @pandas_udf("n long, marks array<long>")
+
+def marks(width: int, similarity: float = 1.0, common: np.ndarray | None = None):
+    """A column function from text to the size of its set of shingles, the parity of those that fall
+    on each bit, and, for ``rare_keys``, the first shingles of the set; zero stands for an empty set.
+    """
+    common = np.zeros(0, np.uint64) if common is None else common
+
+    def first(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.zeros(1, np.int64)
+        known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+        return np.concatenate([h[~known], h[known]])[:int(len(h) * (1 - similarity) + 1e-6) + 1].view(np.int64)
+
+    @pandas_udf("n long, marks array<long>, first array<long>")
     def of(batch: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, width)) for t in batch]
         odd = [np.bincount((h % MARKS).astype(np.int64), minlength=MARKS) & 1 for h in sets]
         return pd.DataFrame({"n": pd.Series([len(h) for h in sets], dtype="int64"),
-                             "marks": [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd]})
+                             "marks": [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd],
+                             "first": [first(h) for h in sets]})
 
     return of
 
 
+def bits_apart(x: Column, y: Column) -> Column:
+    """In how many bits the marks of two sets differ."""
+    return F.aggregate(
+        F.zip_with(x["marks"], y["marks"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+
+
 def may_be_alike(x: Column, y: Column, similarity: float) -> Column:
     """False only for sets that cannot be that alike.
 
-    Marks differ in no more bits than the sets differ in shingles, and sets of likeness s
-    differ in at most (1 - s) / (1 + s) of the sum of their sizes.
+    The smaller of two sets of likeness s has at least s times the other's shingles. Marks differ
+    in no more bits than the sets differ in shingles, and sets of likeness s differ in at most
+    (1 - s) / (1 + s) of the sum of their sizes.
     """
-    apart = F.aggregate(
-        F.zip_with(x["marks"], y["marks"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    return apart <= (x["n"] + y["n"]) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    sized = F.least(x["n"], y["n"]) + F.lit(1e-6) >= F.greatest(x["n"], y["n"]) * F.lit(similarity)
+    return sized & (bits_apart(x, y) <= (x["n"] + y["n"]) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
 
 
 def crowded_keys(distinct: DataFrame, radius: int) -> DataFrame:
     """(t, key, members, fp, id) of the fingerprints that share a table's key with another one."""
-    sized = table_keys(distinct, radius, "id").withColumn("members", F.count("*").over(Window.partitionBy("t", "key")))
-    return sized.filter("members > 1").select("t", "key", "members", "fp", "id")
-
-
-def shingle_sets(width: int):
-    """A column function from text to its set of shingles; zero stands for an empty set."""
-
-    @pandas_udf("array<long>")
-    def of(batch: pd.Series) -> pd.Series:
-        return pd.Series([(h if len(h) else np.zeros(1, np.uint64)).view(np.int64) for h in (
-            np.unique(shingle_hashes(t, width)) for t in batch)])
-
-    return of
+    keys = table_keys(distinct, radius, "id")
+    return keys.join(shared_keys(keys), ["t", "key"]).select("t", "key", "members", "fp", "id")
 
 
-def rare_keys(sets: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(t, key, members, fp, id): texts at the rarest shingles of their sets, such that alike ones meet.
+def rare_keys(firsts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(t, key, members, fp, id): texts at the first shingles of their sets, where alike ones always meet.
 
     Two sets that are alike share at least ``similarity`` of the shingles of either one. So
     under any one order of shingles they share one of the first (1 - similarity) n + 1 of
-    each set of n. Rare ones come first, and those that no other text has need no row.
+    each set of n. The order is that of the hashes, with the common shingles behind the
+    others; which ones count as common decides the work only. Keys are counted before they
+    are joined, so a key that many texts have is split.
     """
-    whole = own.join(sets.select("id", "fp", "n", F.col("id").alias(ID), HASH), [ID, HASH]).dropDuplicates([ID, HASH])
-    every = whole.select("id", F.explode(shingle_sets(width)("text")).alias("s"))
-    met = every.withColumn("times", F.count("*").over(Window.partitionBy("s"))).filter("times > 1")
-    listed = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("met")).join(
-        sets.select("id", "fp", "n"), "id")
-    alone = F.col("n") - F.size("met")
-    first = F.floor(F.col("n") * F.lit(1 - similarity) + F.lit(1e-6)) + 1
-    wanted = F.greatest(first - alone, F.lit(0)).cast("int")
-    places = listed.select("id", "fp", F.explode(F.slice("met", F.lit(1), wanted)).alias("m"))
-    keys = places.select(F.lit(-1).cast("short").alias("t"), F.col("m.s").alias("key"), "fp", "id")
-    sized = keys.withColumn("members", F.count("*").over(Window.partitionBy("key")))
-    return sized.filter("members > 1").select("t", "key", "members", "fp", "id")
+    keys = firsts.select("id", F.explode("first").alias("key"))
+    met = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    return keys.join(met, "key").join(sets.select("id", "fp"), "id").select(
+        F.lit(-1).cast("short").alias("t"), "key", "members", "fp", "id")
 
 
 def first_pairs(shared: DataFrame, radius: int) -> DataFrame:
@@ -289,10 +317,12 @@ def open_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, radius: int
 
 
 def alike_pairs(pairs: DataFrame, distinct: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids of distinct texts whose sets of shingles are alike enough; own has the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct, "id").select(
-        F.col("id").alias(ID), HASH)
-    fetched = saved(own.join(wanted, [ID, HASH]).groupBy(ID).agg(F.max("text").alias("text")), "texts")
+    """The pairs (a, b) of distinct texts whose sets of shingles are alike enough; own has the texts."""
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct, "id").select(
+        F.col("doc").alias(ID), F.col("id").alias(HASH)), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # two numbers a row; else the texts are shuffled to them
+        wanted = F.broadcast(wanted)
+    fetched = saved(own.join(wanted, [ID, HASH]).groupBy(HASH).agg(F.max("text").alias("text")), "texts")
     left, right = fetched.toDF("a", "left"), fetched.toDF("b", "right")
     told = pairs.join(left, "a").join(right, "b").withColumn("alike", jaccard(width)("left", "right"))
     return told.filter(F.col("alike") >= similarity).select("a", "b")
@@ -301,7 +331,8 @@ def alike_pairs(pairs: DataFrame, distinct: DataFrame, own: DataFrame, width: in
 def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity: float = 0.8, beyond: bool = False) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies, with its columns.
 
-    Equal texts are merged first. Links are the pairs whose sets of ``width``-word shingles
+    Equal texts are merged first, and a text's hash names it from then on. Links are the
+    pairs whose sets of ``width``-word shingles
     are alike enough, and groups are the links' components. Fingerprints of the distinct
     words of each text are brought together by a covering of the radius; with ``beyond``,
     texts also meet at rare shingles, as alike ones always do, however far their
@@ -311,23 +342,32 @@ def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity
     Words serve for finding since a changed word costs one of them but ``width`` shingles.
     """
     own = keyed(docs).select(ID, HASH, text_column(docs).alias("text"))
-    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp"), marks(width)("text").alias("m")), "prints")
-    distinct = prints.groupBy(HASH).agg(F.min(ID).alias("id"), F.min("fp").alias("fp"), F.min_by("m", ID).alias("m"))
-    sets = saved(distinct.select("id", HASH, "fp", "m.n", "m.marks"), "sets")
+    common = common_shingles(own, width) if beyond else None
+    marked = marks(width, similarity if beyond else 1.0, common)("text").alias("m")
+    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp"), marked), "prints")
+    distinct = prints.select(ID, HASH, "fp", F.struct("m.n", "m.marks").alias("m")).groupBy(HASH).agg(
+        F.min(ID).alias("doc"), F.min("fp").alias("fp"), F.min_by("m", ID).alias("m"))
+    sets = saved(distinct.select(F.col(HASH).alias("id"), "doc", "fp", "m.n", "m.marks"), "sets")
     shared = saved(crowded_keys(sets.select("fp", "id"), radius), "keys")
     tried, places, reach = first_pairs(shared, radius), shared, radius
     if beyond:
-        places, reach = saved(rare_keys(sets, own, width, similarity), "rare"), BITS
+        firsts = prints.select(ID, F.col(HASH).alias("id"), "m.first").join(
+            sets.select(F.col("doc").alias(ID), "id"), [ID, "id"], "left_semi").dropDuplicates([ID, "id"]).select("id", "first")
+        places, reach = saved(rare_keys(firsts, sets), "rare"), BITS
         tried = tried.unionByName(first_pairs(places, BITS)).distinct()
     sides = sets.select("id", F.struct("n", "marks").alias("m"))
+    x, y = F.col("x"), F.col("y")
+    near = F.min(F.struct((bits_apart(x, y) / (x["n"] + y["n"] + 1)).alias("apart"), F.col("a").alias("a")))
+    # Of the first pass's pairs, each text is compared with the likeliest one only; the second pass sees to the rest.
     likely = saved(tried.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").filter(
-        may_be_alike(F.col("x"), F.col("y"), similarity)).select("a", "b"), "pairs")
+        may_be_alike(x, y, similarity)).groupBy("b").agg(near.alias("best")).select("best.a", "b"), "pairs")
     found = saved(alike_pairs(likely, sets, own, width, similarity), "alike")
     rest = open_pairs(places, components(found), sets.select("id", "n", "marks"), reach, similarity)
     rest = saved(rest.join(likely, ["a", "b"], "left_anti"), "pairs")
     more = saved(alike_pairs(rest, sets, own, width, similarity), "alike")
     roots = components(found.unionByName(more))
-    kept = sets.select(F.col("id").alias(ID), HASH).join(roots, F.col(ID) == F.col("node"), "left").filter(
-        F.col(ID) == F.coalesce("root", ID)).select(ID, HASH)
+    grouped = sets.select("id", "doc").join(roots, F.col("id") == F.col("node"), "left")
+    kept = grouped.groupBy(F.coalesce("root", "id")).agg(F.min(F.struct("doc", "id")).alias("f")).select(
+        F.col("f.doc").alias(ID), F.col("f.id").alias(HASH))
     first = keyed(docs).join(kept, [ID, HASH], "left_semi")
     return first.dropDuplicates([ID, HASH]).select(*[F.col(f"`{c}`") for c in docs.columns])
