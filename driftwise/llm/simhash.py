@@ -145,6 +145,8 @@ CROWD = 128
 ROTATIONS = (0, 21, 42)
 #: Links that a text may offer in one table's group in the first pass, to the nearest texts of smaller id.
 NEAREST = 2
+#: Pairs of a text that the first pass compares, of those that it tries.
+LIKELIEST = 3
 #: Texts of about this many outsiders of a group stand in one array in the second pass.
 CHUNK = 512
 #: Bits of the parity marks of a text's set of shingles.
@@ -190,25 +192,32 @@ def common_shingles(own: DataFrame, width: int) -> np.ndarray:
     return np.sort(listed.to_numpy(np.int64).view(np.uint64))
 
 
-def marks(width: int, similarity: float = 1.0, common: np.ndarray | None = None):
-    """A column function from text to the size of its set of shingles, the parity of those that fall
-    on each bit, and, for ``rare_keys``, the first shingles of the set; zero stands for an empty set.
-    """
-    common = np.zeros(0, np.uint64) if common is None else common
-
-    def first(h: np.ndarray) -> np.ndarray:
-        if not len(h):
-            return np.zeros(1, np.int64)
-        known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
-        return np.concatenate([h[~known], h[known]])[:int(len(h) * (1 - similarity) + 1e-6) + 1].view(np.int64)
+def marks(width: int):
+    """A column function from text to the size of its set of shingles and, per bit, whether an odd number fall there."""
 
-    @pandas_udf("n long, marks array<long>, first array<long>")
+    @pandas_udf("n long, marks array<long>")
     def of(batch: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, width)) for t in batch]
         odd = [np.bincount((h % MARKS).astype(np.int64), minlength=MARKS) & 1 for h in sets]
         return pd.DataFrame({"n": pd.Series([len(h) for h in sets], dtype="int64"),
-                             "marks": [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd],
-                             "first": [first(h) for h in sets]})
+                             "marks": [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd]})
+
+    return of
+
+
+def first_shingles(width: int, similarity: float, common: np.ndarray):
+    """A column function from text to the first shingles of its set, for ``rare_keys``; zero stands for an empty set."""
+
+    @pandas_udf("array<long>")
+    def of(batch: pd.Series) -> pd.Series:
+        def first(text: str) -> np.ndarray:
+            h = np.unique(shingle_hashes(text, width))
+            if not len(h):
+                return np.zeros(1, np.int64)
+            known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+            return np.concatenate([h[~known], h[known]])[:int(len(h) * (1 - similarity) + 1e-6) + 1].view(np.int64)
+
+        return pd.Series([first(t) for t in batch])
 
     return of
 
@@ -342,25 +351,25 @@ def first_of_groups(docs: DataFrame, radius: int = 6, width: int = 5, similarity
     Words serve for finding since a changed word costs one of them but ``width`` shingles.
     """
     own = keyed(docs).select(ID, HASH, text_column(docs).alias("text"))
-    common = common_shingles(own, width) if beyond else None
-    marked = marks(width, similarity if beyond else 1.0, common)("text").alias("m")
-    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp"), marked), "prints")
-    distinct = prints.select(ID, HASH, "fp", F.struct("m.n", "m.marks").alias("m")).groupBy(HASH).agg(
+    prints = saved(own.select(ID, HASH, fingerprint(1, distinct=True)("text").alias("fp"), marks(width)("text").alias("m")), "prints")
+    distinct = prints.groupBy(HASH).agg(
         F.min(ID).alias("doc"), F.min("fp").alias("fp"), F.min_by("m", ID).alias("m"))
     sets = saved(distinct.select(F.col(HASH).alias("id"), "doc", "fp", "m.n", "m.marks"), "sets")
     shared = saved(crowded_keys(sets.select("fp", "id"), radius), "keys")
     tried, places, reach = first_pairs(shared, radius), shared, radius
     if beyond:
-        firsts = prints.select(ID, F.col(HASH).alias("id"), "m.first").join(
+        first = first_shingles(width, similarity, common_shingles(own, width))("text").alias("first")
+        firsts = own.select(ID, F.col(HASH).alias("id"), first).join(
             sets.select(F.col("doc").alias(ID), "id"), [ID, "id"], "left_semi").dropDuplicates([ID, "id"]).select("id", "first")
         places, reach = saved(rare_keys(firsts, sets), "rare"), BITS
         tried = tried.unionByName(first_pairs(places, BITS)).distinct()
     sides = sets.select("id", F.struct("n", "marks").alias("m"))
     x, y = F.col("x"), F.col("y")
-    near = F.min(F.struct((bits_apart(x, y) / (x["n"] + y["n"] + 1)).alias("apart"), F.col("a").alias("a")))
-    # Of the first pass's pairs, each text is compared with the likeliest one only; the second pass sees to the rest.
+    near = F.collect_list(F.struct((bits_apart(x, y) / (x["n"] + y["n"] + 1)).alias("apart"), F.col("a").alias("a")))
+    # Of the first pass's pairs, each text is compared with the likeliest few only; the second pass sees to the rest.
     likely = saved(tried.join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").filter(
-        may_be_alike(x, y, similarity)).groupBy("b").agg(near.alias("best")).select("best.a", "b"), "pairs")
+        may_be_alike(x, y, similarity)).groupBy("b").agg(F.slice(F.array_sort(near), 1, LIKELIEST).alias("best")).select(
+        F.explode("best.a").alias("a"), "b"), "pairs")
     found = saved(alike_pairs(likely, sets, own, width, similarity), "alike")
     rest = open_pairs(places, components(found), sets.select("id", "n", "marks"), reach, similarity)
     rest = saved(rest.join(likely, ["a", "b"], "left_anti"), "pairs")
