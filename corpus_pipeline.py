@@ -14,8 +14,8 @@ from driftwise.llm.common import saved, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity stays below their language's threshold."""
-    return perplexity.accepted(docs, table(spark, sf_dir, "labels"))
+    """Documents whose perplexity stays below their language's threshold; as the first stage it reads the table's files."""
+    return perplexity.accepted(docs, table(spark, sf_dir, "labels"), settled=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def op7_automata(spark: SparkSession, root: str) -> DataFrame:
 
 def op8_perplexity(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text", "lang")
-    return perplexity.judged(docs, table(spark, root, "labels")).select(
+    return perplexity.judged(docs, table(spark, root, "labels"), settled=True).select(
         "doc_id", "lang", F.col("__dw_bits").alias("bits_per_byte"),
         F.round(F.pow(2.0, "__dw_bits"), 6).alias("perplexity"), F.col("__dw_threshold").alias("threshold"),
         F.col("__dw_accepted").alias("accepted"))

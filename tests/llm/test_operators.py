@@ -301,6 +301,68 @@ def test_quality_threshold_is_the_quantile_and_the_allowance(spark, frame):
     assert all(abs(x[2] - limit - 5 / len(x[0]) ** 0.5) < 0.0011 for x in got)
 
 
+def kneser_ney(texts, order):
+    """bits(gram) of the interpolated modified model, from dictionaries."""
+    padded = [b"\n" * (order - 1) + t for t in texts]
+    levels = {order: Counter(t[i:i + order] for t in padded for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts = {}
+    for k, level in levels.items():
+        seen = [sum(c == x for c in level.values()) for x in (1, 2, 3, 4)]
+        y = seen[0] / (seen[0] + 2 * seen[1]) if seen[0] and seen[1] else None
+        cuts[k] = [0, .5, .5, .5] if y is None else [0] + [
+            min(max(x - (x + 1) * y * seen[x] / seen[x - 1], 0), x) if seen[x - 1] else x / 2 for x in (1, 2, 3)]
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        k, lower = len(gram), p(gram[1:])
+        row = [c for g, c in levels[k].items() if g[:-1] == gram[:-1]]
+        if not row:
+            return lower
+        n = levels[k][gram]
+        return (n - cuts[k][min(n, 3)]) / sum(row) + sum(cuts[k][min(c, 3)] for c in row) / sum(row) * lower
+
+    # Where all discounts of a context are 0, no mass is left for what it has not seen: the least float stands for it.
+    return lambda gram: -np.log2(max(p(gram), np.finfo(np.float32).tiny))
+
+
+@pytest.mark.parametrize("block", [1 << 25, 300])
+def test_perplexity_of_joined_counts_as_dictionaries_have_it(spark, frame, monkeypatch, block):
+    monkeypatch.setattr(perplexity, "BLOCK", block)
+    r = random.Random(12)
+    some = lambda: "".join(r.choice("abcAB .éдшя漢") for _ in range(r.randint(1, 60)))
+    rows = [(i, some()) for i in range(40)] + [(50, None), (51, ""), (3, "ab"), (60, "д" * 30), (61, "я" * 30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(15)] + [(60, 1, 0), (20, 1, 1)], "doc_id long, quality int, toxic int")
+    bits = kneser_ney([t.encode() for i, t in rows if t and (i < 15 or i == 60)], perplexity.ORDER)
+    pad = b"\n" * (perplexity.ORDER - 1)
+    got = {(x.doc_id, x.text): x for x in perplexity.judged(frame(rows), labels).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        raw = pad + (t or "").encode()
+        each = [bits(raw[p:p + perplexity.ORDER]) for p in range(len(raw) - perplexity.ORDER + 1)]
+        have = got[i, t]["__dw_bits"]
+        assert have is None if not t else abs(have - np.mean(each)) < 0.0011
+    # Letters of one script outside ASCII are told apart.
+    assert got[61, "я" * 30]["__dw_bits"] > got[60, "д" * 30]["__dw_bits"] + 1
+    columns = [f.name for f in SCHEMA]
+    kept = perplexity.accepted(frame(rows), labels)
+    assert kept.columns == columns and {tuple(x[c] for c in columns[5:]) for x in kept.collect()} <= {tuple(x[c] for c in columns[5:]) for x in got.values()}
+
+
+def test_the_model_stays_in_shards(spark, frame):
+    """The counts meet the grams that texts ask for in joins, one order after the other."""
+    counts = perplexity.gram_counts(frame([(1, "abab"), (2, None), (3, "é")]).select("text"), 2)
+    assert {x.gram: x.n for x in counts.collect()} == {
+        10 << 8 | 97: 1, 97 << 8 | 98: 2, 98 << 8 | 97: 1, 10 << 8 | 0xC3: 1, 0xC3 << 8 | 0xA9: 1}
+    asked = perplexity.asked_grams(frame([(1, "ab"), (2, "zz"), (3, "")]), 2).select("gram").distinct()
+    bits = {x.gram: x.bits for x in perplexity.gram_bits(counts, asked, 2).collect()}
+    model = kneser_ney([b"abab", "é".encode()], 2)
+    assert bits.keys() == {10 << 8 | 97, 97 << 8 | 98, 10 << 8 | 122, 122 << 8 | 122}
+    assert all(abs(v - model(bytes([g >> 8, g & 255]))) < 1e-5 for g, v in bits.items())
+
+
 def contaminated(rows, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     sought = defaultdict(set)
