@@ -142,8 +142,11 @@ def _trimmed(window: int):
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs beside n_words, n_removed and kept, the words left, joined by single spaces."""
+    """docs beside n_words, n_removed and kept, the words left, joined by single spaces.
+
+    Columns of docs that have these names give way to them.
+    """
     frame = marked(docs, rule(window, gram))
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     out = _trimmed(window)(text_column(frame), F.col("__dw_spans"))
-    return frame.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("__dw")).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "__dw.*")
+    return frame.select(*[F.col(f"`{c}`") for c in own], out.alias("__dw")).select(*[F.col(f"`{c}`") for c in own], "__dw.*")
