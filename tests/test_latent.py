@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from driftwise.operators import latent
+from driftwise.plans import text_jobs
+from driftwise.sources.estate import Estate
 
 ENTRY = "doc_id long, token string, w double"
 
@@ -53,3 +55,15 @@ def test_rows_have_length_one_and_nearest_is_itself(spark):
     _, rows, _ = latent.latent(entries, "doc_id", 2)
     best = {(r.query_id, r.rank): (r.vec_id, r.score) for r in latent.nearest(rows, "doc_id", 2).collect()}
     assert best[1, 1] == (1, pytest.approx(1.0)) and best[1, 2] == (2, pytest.approx(1.0)) and best[3, 1][0] == 3
+
+
+def test_desks_words_are_counted_once(spark, tmp_path):
+    """Every use of the rows reads the kept counts, none the documents or their words again."""
+    docs = [(i, f"source {i % 3}", text, "en", 20) for i, text in enumerate(("river stone river", "stone house", None, "", "water house house"))]
+    spark.createDataFrame([*docs, docs[0]], "doc_id long, source string, text string, lang string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    e = Estate(spark, str(tmp_path))
+    rows = text_jobs.desk_rows(e)
+    assert all("desk_words" in f for f in rows.inputFiles())
+    # A repeated document counts with both of its rows, each time.
+    assert {(x.token, x.tf) for x in text_jobs.desk_words(e).collect()} == {("river", 8), ("stone", 4), ("stone", 1), ("house", 1), ("house", 2), ("water", 1)}
