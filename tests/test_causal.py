@@ -94,6 +94,32 @@ def test_present_in_two_moved_in_one_is_not_consistent(spark):
     assert row.usable_regions == 2 and row.responding == 1 and row.consistency == "fail"
 
 
+def test_candidates_alike_are_one_test(spark):
+    """Many notes of one slice, days and exposure cost one test; each still gets its own row."""
+    hits = {("N", "web"): 0.6, ("N", "store"): 0.6}
+    many = [cand(f"n{i}", ["N"], "web") for i in range(60)] + [cand(f"m{i}", ["N"]) for i in range(60)]
+    frame = spark.createDataFrame(many, CAND)
+    named = causal.alike(frame, causal.KEY, (*causal.SCOPE, "start", "end", "exposed"))
+    assert causal.distinct_tests(named).count() == 2
+    out = causal.verify(frame, panel(spark, hits)).collect()
+    alone = {name: judged(spark, [cand(name, ["N"], channel)], hits)[name] for name, channel in (("n0", "web"), ("m0", None))}
+    assert len(out) == 120
+    for r in out:
+        want = alone[r.doc_id[0] + "0"]
+        assert r.effect == want.effect and r.placebo_max == want.placebo_max and r.state == want.state == "verified"
+
+
+def test_rows_that_share_a_key_are_tested_together(spark):
+    """As before: the sums of a key's rows are one, and a null key has none."""
+    hits = {("N", "web"): 0.6, ("N", "store"): 1.0}
+    twice = [cand("two", ["N"], "web"), cand("two", ["N"], "store"), cand(None, ["N"], "web")]
+    both = judged(spark, [cand("both", ["N"])], hits)["both"]
+    out = causal.verify(spark.createDataFrame(twice, CAND), panel(spark, hits)).collect()
+    assert [r.effect for r in out if r.doc_id] == [both.effect] * 2
+    lost = next(r for r in out if r.doc_id is None)
+    assert lost.effect is None and (lost.usable_regions, lost.responding, lost.placebo_count) == (0, 0, 0)
+
+
 # --- candidates -----------------------------------------------------------------------
 NOTES = "doc_id string, doc_type string, ts timestamp_ntz, region string, text string"
 SCOPE = {"channel": {"app": "app", "mobile app": "app", "web": "web"}, "device": {"android": "mobile"},
