@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from driftwise.operators import causal
 from driftwise.session import joined_as_dealt
 from driftwise.sources import prepared
 from driftwise.sources.estate import Estate
@@ -47,3 +49,14 @@ def test_prepared_sales_keep_every_line_of_a_known_order(estate):
     assert got == [(1, 1, "ASIA", "PROMO", True, 2.0), (1, 2, "ASIA", None, False, 2.0),
                    (20000, 0, "EUROPE", None, False, 1.0), (20000, 1, "EUROPE", "PROMO", True, 2.0)]
     assert estate.prepared_sales().columns[:3] == ["part_id", "order_id", "line_no"]
+
+
+def test_the_panel_is_dealt_before_it_is_multiplied(spark):
+    """Sixteen layouts of a row are summed where they arise, in as many parts as the session has."""
+    panel = spark.createDataFrame([(DAY.date(), r, c, "d", "c", "s", 1.0) for r in "NS" for c in ("web", "store")],
+                                  "d date, region string, channel string, device string, category string, sku string, revenue double")
+    out = causal.scoped_panel(panel)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(d" in plan
+    told = {(r.layout, r.region): r.n for r in out.groupBy("layout", "region").agg(F.sum("revenue").alias("n")).collect()}
+    assert len(told) == 32 and set(told.values()) == {2.0}
